@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import small_batches
+from fathomline.llm.units import encode_units
 
 SPACE_MARK = "▁".encode()
 
@@ -153,6 +154,59 @@ class Codec:
             0 if self.model.is_control(i) else 1 if self.model.is_byte(i) else len(self.model.id_to_piece(i).encode()) for i in range(n)
         ], np.int64)
         self.unknown = self.model.unk_id()
+        pieces = [self.model.id_to_piece(i) for i in range(n)]
+        #: Source bytes of every id where only spaces are rewritten.
+        self.source_width = self.width.copy()
+        for i, p in enumerate(pieces):
+            if not self.model.is_control(i) and not self.model.is_byte(i):
+                self.source_width[i] = len(p.replace("▁", " ").encode())
+        m = self.normaliser
+        #: No piece spans a space that begins a word, so words may be encoded apart.
+        self.by_words = (
+            not m._trie and not m.squeeze and m.dummy_prefix and not m.space_last and m.space == SPACE_MARK
+            and not any("▁" in p.lstrip("▁") for p in pieces)
+            and any(self.model.is_byte(i) for i in range(n))  # else an unknown character has no fixed width
+        )
+
+    def _raw(self, text: str) -> np.ndarray:
+        """Ids of a text that begins with a space, which is the one the library puts there itself.
+
+        Goes through the library some words at a time: it slows down on long texts.
+        """
+        words = text[1:].split(" ")
+        some = self.model.encode([" ".join(words[i:i + 300]) for i in range(0, len(words), 300)], num_threads=1)
+        return np.concatenate([np.array(x, "<u4") for x in some])
+
+    def round_trip(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
+        """(ids with begin and end ids, first source bytes, end source bytes, decoded text) of every text.
+
+        Where the model allows it, a batch's distinct words are encoded and decoded once.
+        """
+        out: list = [None] * len(texts)
+        at = [i for i, t in enumerate(texts) if self.by_words and t and t[0] != " " and t[-1] != " " and "  " not in t and "▁" not in t]
+        if at:
+            seen = [True]
+
+            def encode(text):
+                ids = self._raw(text)
+                seen[0] &= self.model.decode(ids.tolist()) == text[1:]
+                return ids
+
+            ids, ends = encode_units(pa.array([texts[i] for i in at], pa.string()), encode, self.source_width, encode)
+            bos, eos = self.model.bos_id(), self.model.eos_id()
+            for i, a, b in zip(at, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                own = ids[a:b]
+                to = np.cumsum(self.source_width[own]) - 1  # the space put before the text has no source
+                begin = np.maximum(to - self.source_width[own], 0)
+                own = np.concatenate([[bos], own, [eos]]).astype("<u4")
+                n = to[-1:]
+                out[i] = own, np.concatenate([[0], begin, n]), np.concatenate([[0], to, n]), texts[i] if seen[0] else self.decode([own])[0]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for first, part in chunks([texts[i] for i in rest]):
+            ids = self.encode(part)
+            for i, t, x, d in zip(rest[first:], part, ids, self.decode(ids), strict=False):
+                out[i] = x, *self.spans(t, x), d
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids with begin and end ids."""
@@ -212,13 +266,10 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             keys = batch.column(0)
             for first, texts in chunks(batch.column(1).to_pylist()):
-                ids = c.encode(texts)
-                spans = [c.spans(t, x) for t, x in zip(texts, ids, strict=True)]
+                found = c.round_trip(texts)
                 ints = pa.list_(pa.int32())
-                yield pa.record_batch({
-                    "doc_id": keys.slice(first, len(texts)), "ids": pa.array([x.astype("i4") for x in ids], ints),
-                    "begins": pa.array([b.astype("i4") for b, _ in spans], ints), "ends": pa.array([e.astype("i4") for _, e in spans], ints),
-                })
+                yield pa.record_batch({"doc_id": keys.slice(first, len(texts))} | {
+                    name: pa.array([x[k].astype("i4") for x in found], ints) for k, name in enumerate(("ids", "begins", "ends"))})
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
 
@@ -248,14 +299,13 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
         c = codec(model_path)
         for batch in batches:
             keys = batch.column(0)
-            for first, texts in chunks(batch.column(1).to_pylist()):
-                ids = c.encode(texts)
-                spans = [c.spans(t, x) for t, x in zip(texts, ids, strict=True)]
+            for first, texts in chunks(batch.column(1).to_pylist(), 4_000_000):
+                found = c.round_trip(texts)
                 yield pa.record_batch({
-                    "doc_id": keys.slice(first, len(texts)), "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([sha(x.tobytes()) for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([sha(x.encode()) for x in c.decode(ids)], pa.string()),
-                    "spans_sha256": pa.array([sha(b.astype("<u4").tobytes() + e.astype("<u4").tobytes()) for b, e in spans], pa.string()),
+                    "doc_id": keys.slice(first, len(texts)), "n_tokens": pa.array([len(x[0]) for x in found], pa.int64()),
+                    "ids_sha256": pa.array([sha(x[0].tobytes()) for x in found], pa.string()),
+                    "decoded_sha256": pa.array([sha(x[3].encode()) for x in found], pa.string()),
+                    "spans_sha256": pa.array([sha(x[1].astype("<u4").tobytes() + x[2].astype("<u4").tobytes()) for x in found], pa.string()),
                 })
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
