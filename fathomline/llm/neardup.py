@@ -46,8 +46,8 @@ def fingerprint(text: str, size: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``fp``, the fingerprint as a signed long; ``text`` may be kept."""
+def fingerprints(docs: DataFrame, keep: list[str], out: str = "fp") -> DataFrame:
+    """The columns ``keep`` with ``out``, the fingerprint as a signed long; ``text`` may be kept."""
     spark = docs.sparkSession
     small_batches(spark)
     at = len(keep)
@@ -57,9 +57,9 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found)], [*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found)], [*keep, out])
 
-    return source.mapInArrow(run, f"{fields}, fp long")
+    return source.mapInArrow(run, f"{fields}, `{out}` long")
 
 
 def shared_bytes(x: Column, y: Column) -> Column:
@@ -124,8 +124,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Equal ids are told apart by a row number given before anything else is done.
     """
     columns = docs.columns
-    found = durable(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), [*columns, "_row"]), "fingerprinted")
-    narrow = found.select(F.col("doc_id").cast("long").alias("doc_id"), "fp", "_row")
+    found = durable(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), [*columns, "_row"], "_fp"), "fingerprinted")
+    narrow = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), "_row")
     first = narrow.join(group_prints(narrow), "fp").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
     return found.join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -156,8 +156,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, dims:
     return QualityModel(vectors, Network.fit(np.stack([vectors.pooled(t) for t in texts])[order], y[order]))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
-    """The columns ``keep`` (default doc_id) with score and predicted, from the whole ``text``.
+def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, threshold: float = 0.3, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (default doc_id) with score and predicted (named with ``prefix``), from the whole ``text``.
 
     A null text counts as empty; repeated rows give repeated rows; an empty table
     gives no rows. The model travels as one broadcast of bounded size.
@@ -176,6 +176,6 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
                 s = shared.value.scores(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:at], pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"))],
-                    [*columns, "score", "predicted"])
+                    [*columns, prefix + "score", prefix + "predicted"])
 
-    return source.mapInArrow(run, f"{fields}, score double, predicted int")
+    return source.mapInArrow(run, f"{fields}, {prefix}score double, {prefix}predicted int")

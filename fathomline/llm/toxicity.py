@@ -216,8 +216,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_t
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.3, evidence: int = 3) -> DataFrame:
-    """The columns ``keep`` (default doc_id) with score, predicted and evidence, from the whole ``text``.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.3, evidence: int = 3, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (default doc_id) with score, predicted and evidence (named with ``prefix``), from the whole ``text``.
 
     ``evidence`` lists the nearest examples (doc_id, cosine, toxic), nearest first. A
     null text counts as empty and, like any text without a known term, has no
@@ -241,6 +241,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
             said = [[{"doc_id": m.examples[i], "cosine": float(c), "toxic": int(m.labels[i])} for i, c in zip(ids[:evidence], cos, strict=False)] for _, ids, cos in found]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at], pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32()), pa.array(said, kind)],
-                [*columns, "score", "predicted", "evidence"])
+                [*columns, *(prefix + n for n in ("score", "predicted", "evidence"))])
 
-    return source.mapInArrow(run, f"{fields}, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
+    return source.mapInArrow(run, f"{fields}, {prefix}score double, {prefix}predicted int, {prefix}evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
