@@ -14,6 +14,8 @@ member of every entry, and the work grows with the members, not with their pairs
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -118,14 +120,203 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: the smallest doc_id (a null one only where there is no other).
+class _WordHashes(dict):
+    """Hashes of words, each counted once; emptied when it grows large."""
 
-    Equal ids are told apart by a row number given before anything else is done.
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def shingle_set(text: str, size: int, hashes: _WordHashes) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the ``size``-word shingles, words as in ``fingerprint``; a shorter text is one shingle."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    of = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = max(len(of) - size + 1, 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(size, len(of))):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + of[k:k + n]
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+@dataclass(frozen=True)
+class Bound:
+    """A similarity p / q over sets of shingles (shared ones by all of both), in whole numbers."""
+
+    p: int
+    q: int
+
+    @classmethod
+    def of(cls, similarity: float) -> Bound:
+        exact = Fraction(str(similarity))
+        if not 0 < exact <= 1:
+            raise ValueError("the similarity lies above 0 and reaches at most 1")
+        return cls(exact.numerator, exact.denominator)
+
+    def prefix(self, n):
+        """Two similar sets share one of the first so many members of each, in any common order."""
+        return n + (-self.p * n) // self.q + 1
+
+    def shared(self, both):
+        """The least number of shared members of similar sets with ``both`` members in all."""
+        return -((-self.p * both) // (self.p + self.q))
+
+
+def common_shingles(found: DataFrame, size: int, sample_rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles frequent in a sample of ``found`` (text), sorted by hash.
+
+    They only order the shingles, rare ones first: any order gives the same pairs.
     """
-    columns = docs.columns
-    found = durable(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), [*columns, "_row"], "_fp"), "fingerprinted")
-    narrow = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), "_row")
-    first = narrow.join(group_prints(narrow), "fp").groupBy("component").agg(
+    rows = found.count()
+    part = found.select("text") if rows <= sample_rows else found.select("text").sample(fraction=sample_rows / rows, seed=1)
+
+    def run(batches):
+        hashes = _WordHashes()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.record_batch({"h": pa.array(shingle_set(text or "", size, hashes).view(np.int64))})
+
+    top = part.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
+    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_index(found: DataFrame, size: int, bound: Bound, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, same, n, pos): the first members, rare ones first, of every shingle set of ``found`` (_same, text); n members in all."""
+    shared = found.sparkSession.sparkContext.broadcast(common)  # at most ``most`` hashes
+
+    def run(batches):
+        hashes, seen = _WordHashes(), set()
+        known, counts = shared.value
+        for batch in batches:
+            out = []
+            for same, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if same in seen:  # a copy's set was indexed already
+                    continue
+                seen.add(same)
+                h = shingle_set(text or "", size, hashes)
+                n, often = len(h), np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    often = np.where(known[at] == h, counts[at], 0)
+                first = h[np.argsort(often, kind="stable")[:bound.prefix(n)]]
+                out.append((first, same, n))
+            if out:
+                sizes = [len(f) for f, _, _ in out]
+                yield pa.record_batch({
+                    "h": pa.array(np.concatenate([f for f, _, _ in out]).view(np.int64)),
+                    "same": pa.array(np.repeat(np.array([s for _, s, _ in out], np.int64), sizes)),
+                    "n": pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), sizes)),
+                    "pos": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))})
+
+    return found.select("_same", "text").mapInArrow(run, "h long, same long, n int, pos int")
+
+
+def meetings(index: DataFrame, bound: Bound, rows_out: int = 100_000) -> DataFrame:
+    """(u, v, nu, nv) for every list that two sets share, unless their sizes or their places in it rule the similarity out."""
+
+    def pairs(h, same, n, pos):
+        keep = np.append(True, (h[1:] != h[:-1]) | (same[1:] != same[:-1]))
+        h, same, n, pos = h[keep], same[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64)
+        i, d = np.arange(len(h) - 1), 1
+        while len(i):
+            i = i[i + d < len(h)]
+            j = i + d
+            on = (h[i] == h[j]) & (bound.q * n[i] >= bound.p * n[j])  # sorted by size within a list: nothing further on passes either
+            i, j = i[on], j[on]
+            most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+            ok = most >= bound.shared(n[i] + n[j])
+            x, y = i[ok], j[ok]
+            for k in range(0, len(x), rows_out):
+                a, b = x[k:k + rows_out], y[k:k + rows_out]
+                swap = same[a] > same[b]
+                u, v = np.where(swap, b, a), np.where(swap, a, b)
+                yield pa.record_batch({"u": same[u], "v": same[v], "nu": n[u].astype(np.int32), "nv": n[v].astype(np.int32)})
+            d += 1
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on in the next batch
+            if cut:
+                yield from pairs(*[c[:cut] for c in now])
+            held = [c[cut:] for c in now]
+        if held is not None:
+            yield from pairs(*held)
+
+    return index.repartition("h").sortWithinPartitions("h", "n", "same").mapInArrow(run, "u long, v long, nu int, nv int")
+
+
+def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: int = 20_000, most: int = 100_000) -> DataFrame:
+    """(u, v): all pairs of different shingle sets of ``found`` (_same, _row, text) whose similarity reaches ``similarity``.
+
+    Similar sets meet in an index of each one's rarest shingles (a prefix filter loses
+    none); pairs that meet too seldom are dropped, the others' sets compared in full.
+    """
+    bound = Bound.of(similarity)
+    p, q = bound.p, bound.q
+    index = prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))
+    rest = lambda n: F.expr(f"-floor(-{p}L * {n} / {q}L) - 1")  # noqa: E731  members behind the prefix
+    need = F.expr(f"-floor(-{p}L * (nu + nv) / {p + q}L)")
+    met = meetings(index, bound).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
+    near = durable(met.where(F.col("c") >= need - F.greatest(rest("nu"), rest("nv"))).select("u", "v"), "meetings")
+    members = near.select(F.col("u").alias("_same")).union(near.select(F.col("v").alias("_same"))).distinct()
+    rows = found.select("_same", "_row").join(members, "_same").groupBy("_same").agg(F.min("_row").alias("_row")).select("_row")
+    texts = durable(found.select("_row", "_same", "text").join(rows, "_row", "left_semi").select("_same", "text"), "met-texts")
+    x = texts.select(F.col("_same").alias("u"), F.col("text").alias("x"))
+    y = texts.select(F.col("_same").alias("v"), F.col("text").alias("y"))
+
+    def run(batches):
+        hashes = _WordHashes()
+        for batch in batches:
+            out, last, a = [], None, None
+            for u, v, left, right in zip(*[batch.column(k).to_pylist() for k in ("u", "v", "x", "y")], strict=True):
+                if u != last:
+                    last, a = u, shingle_set(left or "", size, hashes)
+                b = shingle_set(right or "", size, hashes)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if q * both >= p * (len(a) + len(b) - both):
+                    out.append((u, v))
+            yield pa.record_batch({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    return near.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group, with all its columns: the smallest doc_id (a null one only where there is no other).
+
+    Documents are linked whose sets of ``size``-word shingles have a similarity (shared
+    ones by all of both) of ``similarity`` or more; groups are what links connect. Texts
+    without words are alike. Equal ids are told apart by a row number given before
+    anything else is done.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    small_batches(spark)
+    at = columns.index("text")
+    source = docs.withColumn("_row", F.monotonically_increasing_id())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+
+    def run(batches):
+        hashes = _WordHashes()
+        for batch in batches:
+            same = [xxhash.xxh64_intdigest(shingle_set(t or "", size, hashes).tobytes()) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(same, np.uint64).view(np.int64))], [*batch.schema.names, "_same"])
+
+    found = durable(source.mapInArrow(run, f"{fields}, `_same` long"), "shingled")
+    links = durable(similar_sets(found, size, similarity), "similar")
+    narrow = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_same").alias("node"), "_row")
+    named = narrow.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
     return found.join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
