@@ -2,7 +2,7 @@
 
 The field's features are the shapes of a token and of two tokens to either side, and
 the label before. It is trained by gradient ascent on a small labelled table and decoded
-by Viterbi over padded numpy batches. Text is decoded where it holds a digit or an ``@``
+by Viterbi over padded numpy batches, long lines in parts that hand on their state. Text is decoded where it holds a digit or an ``@``
 and some words around: elsewhere no kind of the table occurs. The field only adds spans
 to those of the patterns.
 """
@@ -106,6 +106,43 @@ class Crf:
                 now = np.where(inside, back[np.arange(rows), t, now], now)
         return out
 
+    def viterbi_long(self, ids: np.ndarray) -> np.ndarray:
+        """The best labels of one long row, as ``viterbi`` gives them: its parts are decoded side by side.
+
+        Each part is decoded for every label that may stand before it; a pass over the
+        parts then carries the state from one to the next.
+        """
+        n, k = len(ids), len(self.trans)
+        part = int(np.ceil(np.sqrt(n)))
+        rows = -(-n // part)
+        s = np.zeros((rows * part, k))
+        s[:n] = self.scores(ids[None])[0]
+        s = s.reshape(rows, part, k)
+        size = np.minimum(part, n - part * np.arange(rows))
+        best = self.trans[None] + s[:, None, 0]  # (part, label before it, label now)
+        best[0] = s[0, 0]
+        back = np.zeros((part, rows, k, k), np.int8)
+        for t in range(1, part):
+            each = best[:, :, :, None] + self.trans
+            back[t] = each.argmax(2)
+            best = np.where((t < size)[:, None, None], each.max(2) + s[:, None, t], best)
+        total, enter = best[0, 0], np.zeros((rows, k), np.int8)
+        for r in range(1, rows):
+            each = total[:, None] + best[r]
+            enter[r], total = each.argmax(0), each.max(0)
+        last = np.zeros(rows, np.int64)
+        last[-1] = total.argmax()
+        for r in range(rows - 1, 0, -1):
+            last[r - 1] = enter[r, last[r]]
+        before, now, each = np.concatenate([[0], last[:-1]]), last, np.arange(rows)
+        out = np.zeros((rows, part), np.int8)
+        for t in range(part - 1, -1, -1):
+            inside = t < size
+            out[inside, t] = now[inside]
+            if t:
+                now = np.where(inside, back[t, each, before, now], now)
+        return out.reshape(-1)[:n]
+
     def ids(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         get = self.shapes.get
         found = [(get(shape(m[0]), 0), m.span()) for m in TOKEN.finditer(text)]
@@ -192,7 +229,21 @@ HOLDS = {k: re.compile(v, re.DOTALL | re.ASCII) for k, v in HOLDS.items()}
 
 def tag(texts: list[str], crf: Crf, batch: int = 256, long: int = 512) -> list[list[Span]]:
     """The field's spans (start, kind, end) of every text."""
-    jobs = []  # (text, offset of each token, ids)
+    out: list[list[Span]] = [[] for _ in texts]
+
+    def add(i: int, at: int, spans: list[tuple[int, int]], row: list[int]) -> None:
+        t = 0
+        while t < len(row):
+            e = t + 1
+            while e < len(row) and row[e] == row[t]:
+                e += 1
+            if row[t]:
+                a, b = at + spans[t][0], at + spans[e - 1][1]
+                if HOLDS[LABELS[row[t]]].search(texts[i][a:b]):
+                    out[i].append((a, LABELS[row[t]], b))
+            t = e
+
+    jobs = []  # (text, offset of the stretch, offsets of its tokens, ids)
     for i, text in enumerate(texts):
         at = 0
         while m := TRIGGER.search(text, at):
@@ -201,10 +252,11 @@ def tag(texts: list[str], crf: Crf, batch: int = 256, long: int = 512) -> list[l
             line = text[a:b]
             for x, y in windows(line):
                 ids, spans = crf.ids(line[x:y])
-                for k in range(0, len(ids), long):  # a stretch of many tokens is decoded in parts
-                    jobs.append((i, a + x, spans[k:k + long], ids[k:k + long]))
+                if len(ids) > long:
+                    add(i, a + x, spans, crf.viterbi_long(np.array(ids)).tolist())
+                else:
+                    jobs.append((i, a + x, spans, ids))
             at = b + 1
-    out: list[list[Span]] = [[] for _ in texts]
     jobs.sort(key=lambda j: len(j[3]))
     for first in range(0, len(jobs), batch):
         part = [j for j in jobs[first:first + batch] if j[3]]
@@ -217,16 +269,7 @@ def tag(texts: list[str], crf: Crf, batch: int = 256, long: int = 512) -> list[l
         labels = crf.viterbi(ids, size)
         for r in np.flatnonzero(labels.any(1)).tolist():
             i, at, spans, _ = part[r]
-            row, t = labels[r, :size[r]].tolist(), 0
-            while t < len(row):
-                e = t + 1
-                while e < len(row) and row[e] == row[t]:
-                    e += 1
-                if row[t]:
-                    a, b = at + spans[t][0], at + spans[e - 1][1]
-                    if HOLDS[LABELS[row[t]]].search(texts[i][a:b]):
-                        out[i].append((a, LABELS[row[t]], b))
-                t = e
+            add(i, at, spans, labels[r, :size[r]].tolist())
     return out
 
 
