@@ -7,7 +7,10 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class SignatureRule:
-    """``pattern`` is tried where a text contains ``keyword``; a smaller ``priority`` is stronger."""
+    """``pattern`` is tried where a text contains ``keyword``, or one of several parted by ``|``; a smaller ``priority`` is stronger.
+
+    Every match holds one of the keywords.
+    """
 
     label: str
     priority: int
@@ -25,20 +28,20 @@ CONFIDENCE = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8, 5: 0.6, 6: 0.4}
 
 # Fixed values, written for these rules: label; keyword; the licence's names; its short names in tags; its web pages.
 NAMES = """
-mit; mit; (?:mit|expat) licen[cs]e; mit; opensource org licenses mit
+mit; mit|expat; (?:mit|expat) licen[cs]e; mit; opensource org licenses mit
 mit-0; mit no attribution; mit no attribution licen[cs]e; mit 0; opensource org licenses mit 0
 apache-1.0; apache; apache licen[cs]e(?: version| v)? 1 0; apache 1 0; apache org licenses license 1 0
 apache-1.1; apache; apache (?:software )?licen[cs]e(?: version| v)? 1 1; apache 1 1; apache org licenses license 1 1
 apache-2.0; apache; apache (?:software )?licen[cs]e(?: version| v)?(?: 2(?: 0)?); apache 2 0; apache org licenses license 2 0
 apache; apache; apache (?:software )?licen[cs]e; apache; apache org licenses
 bsd-0; bsd; (?:zero clause bsd|bsd zero clause|0 clause bsd) licen[cs]e; 0bsd; opensource org licenses 0bsd
-bsd-2; bsd; (?:2|two) clause bsd licen[cs]e|(?:simplified|freebsd) (?:bsd )?licen[cs]e; bsd 2 clause; opensource org licenses bsd 2 clause
+bsd-2; bsd|simplified; (?:2|two) clause bsd licen[cs]e|(?:simplified|freebsd) (?:bsd )?licen[cs]e; bsd 2 clause; opensource org licenses bsd 2 clause
 bsd-3; bsd; (?:3|three) clause bsd licen[cs]e|(?:new|modified|revised) bsd licen[cs]e; bsd 3 clause; opensource org licenses bsd 3 clause
 bsd-4; bsd; (?:4|four) clause bsd licen[cs]e|original bsd licen[cs]e; bsd 4 clause; spdx org licenses bsd 4 clause
 bsd; bsd; bsd (?:style )?licen[cs]e; bsd; opensource org licenses bsd license
 isc; isc; isc licen[cs]e; isc; opensource org licenses isc
 zlib; zlib; zlib (?:libpng )?licen[cs]e; zlib; opensource org licenses zlib
-libpng; libpng; (?:png reference library|libpng) licen[cs]e; libpng 2 0; libpng org pub png src libpng license
+libpng; libpng|png reference; (?:png reference library|libpng) licen[cs]e; libpng 2 0; libpng org pub png src libpng license
 boost-1.0; boost; boost software licen[cs]e(?: version| v)?(?: 1 0)?; bsl 1 0; boost org license 1 0
 unlicense; unlicen; unlicen[cs]e; unlicense; unlicense org
 wtfpl; want to; do what the fuck you want to public licen[cs]e; wtfpl;
@@ -46,7 +49,7 @@ cc0-1.0; commons zero; creative commons zero(?: universal| public domain dedicat
 gpl-1.0; general public; gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 1(?: 0)?; gpl 1 0; gnu org licenses old licenses gpl 1 0
 gpl-2.0; general public; gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2(?: 0)?; gpl 2 0; gnu org licenses (?:old licenses )?gpl 2 0
 gpl-3.0; general public; gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?; gpl 3 0; gnu org licenses gpl 3 0
-gpl; general public; gnu (?:general )?public licen[cs]e|general public licen[cs]e; gpl; gnu org licenses gpl
+gpl; general public|gnu public; gnu (?:general )?public licen[cs]e|general public licen[cs]e; gpl; gnu org licenses gpl
 lgpl-2.0; library general; gnu library general public licen[cs]e(?: version| v)?(?: 2(?: 0)?)?; lgpl 2 0; gnu org licenses old licenses lgpl 2 0
 lgpl-2.1; lesser; gnu lesser general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2 1; lgpl 2 1; gnu org licenses (?:old licenses )?lgpl 2 1
 lgpl-3.0; lesser; gnu lesser general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?; lgpl 3 0; gnu org licenses lgpl 3 0
@@ -97,7 +100,7 @@ pddl-1.0; open data commons; open data commons public domain dedication(?: and l
 elastic-2.0; elastic; elastic licen[cs]e(?: version| v)?(?: 2(?: 0)?)?; elastic 2 0; elastic co licensing elastic license
 sspl-1.0; server side; server side public licen[cs]e(?: version| v)?(?: 1)?; sspl 1 0; mongodb com licensing server side public license
 busl-1.1; business source; business source licen[cs]e(?: version| v)?(?: 1 1)?; busl 1 1;
-openrail; openrail; (?:creativeml |bigscience )?(?:bloom )?(?:rail|openrail)(?: m)? licen[cs]e; openrail; huggingface co spaces bigscience license
+openrail; rail; (?:creativeml |bigscience )?(?:bloom )?(?:rail|openrail)(?: m)? licen[cs]e; openrail; huggingface co spaces bigscience license
 """
 
 #: Creative Commons: rights and versions, from which the names follow.
@@ -111,7 +114,7 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 TEXTS = """
 mit; permission is; permission is hereby granted free of charge to any person obtaining a copy
 isc; permission to; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-bsd; redistribution and; redistributions? and use in source and binary forms with or without modification(?: are permitted)?
+bsd; redistribution and|redistributions and; redistributions? and use in source and binary forms with or without modification(?: are permitted)?
 bsd-3; endorse; neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote
 bsd-4; advertising; all advertising materials mentioning features or use of this software must display
 zlib; implied warranty; this software is provided as is without any express or implied warranty

@@ -42,19 +42,23 @@ def words_of(text: Column) -> Column:
 
 
 def _by_first_word(rules: list[SignatureRule]) -> Column:
-    """array<struct<first, rules>> of constants: the rules by their keyword's first word."""
-    groups: dict[str, list[SignatureRule]] = {}
+    """array<struct<first, rules>> of constants: the rules by the first word of each of their keywords."""
+    groups: dict[str, list[tuple[str, SignatureRule]]] = {}
     for r in rules:
-        groups.setdefault(r.keyword.split(" ")[0], []).append(r)
+        for keyword in r.keyword.split("|"):
+            groups.setdefault(keyword.split(" ")[0], []).append((keyword, r))
     return F.array(*[
         F.struct(F.lit(k).alias("first"), F.array(*[
-            F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"))
-            for r in g]).alias("rules"))
+            F.struct(F.lit(word).alias("keyword"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"))
+            for word, r in g]).alias("rules"))
         for k, g in sorted(groups.items())])
 
 
 def detections(words: Column, rules: list[SignatureRule]) -> Column:
-    """All matches of all rules as array<struct<start, neg_end, priority, label>>, sorted: what contains comes before what is contained."""
+    """All matches of all rules as array<struct<start, neg_end, priority, label>>, sorted: what contains comes before what is contained.
+
+    A rule found by two keywords gives its matches twice; the second ones are suppressed like any contained match.
+    """
 
     def places(rule: Column) -> Column:
         pair = F.struct(F.regexp_extract_all(words, rule["pattern"], F.lit(0)).alias("m"), F.split(words, rule["pattern"], -1).alias("s"))
