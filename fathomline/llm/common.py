@@ -1,15 +1,17 @@
-"""Helpers shared by the corpus operators: tables, durable intermediates, batches."""
+"""Helpers shared by the corpus operators: tables, durable intermediates, batches, bounded samples."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts' ``[\x20\x09-\x0D]`` names it.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Ids that a broadcast may hold: 16 MB or so in the executors. More are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,29 +19,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The application's own folder inside the shared one that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a
+    cluster this is an error, since machines don't see each other's temporary folders.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return f"{found.rstrip('/')}/{context.applicationId}"
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     Cuts the lineage without keeping a copy on an executor's own disk, so a lost
-    executor costs nothing that was already written.
+    executor costs nothing that was already written. ``clean_up`` removes the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Bounds an Arrow batch in bytes: texts can be long, and a Python worker holds a batch whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def clean_up(spark: SparkSession) -> None:
+    """Removes all intermediates that this application wrote; results not yet written become unreadable."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds an Arrow batch in bytes: texts can be long, and a Python worker holds a batch whole.
+
+    The setting belongs to the session. All operators ask for the same bound, and one
+    that is already smaller stays, so the order of calls doesn't matter.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if now > size or now <= 0:
+        spark.conf.set(key, str(size))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column (letter case apart) is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def fields_of(df: DataFrame, columns: list[str]) -> str:
+    """The columns with their types, as a schema string; names may hold any character."""
+    return ", ".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def by_name(columns: list[str]) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
+def only(rows: DataFrame, ids: DataFrame, on: str, keep: bool, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose ``on`` is among the distinct ``ids`` (``keep``), or isn't: wide rows move only if the ids are too many to broadcast."""
+    few = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi" if keep else "left_anti")
 
 
 def held_out(doc_id, buckets: int, rest: int):
@@ -47,22 +95,26 @@ def held_out(doc_id, buckets: int, rest: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % buckets == rest, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, exclude, max_rows: int) -> list:
-    """At most ``max_rows`` labelled rows ``(doc_id, text, y)``, the smallest by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, exclude, max_rows: int, max_bytes: int = 32 << 20) -> list:
+    """At most ``max_rows`` labelled rows ``(doc_id, text, y)`` of ``max_bytes`` of text, the smallest by a hash of the id.
 
-    ``exclude`` is a Column over ``doc_id``; rows it marks never take part. The ids
-    are chosen on the labels table alone (a top-k), so only the chosen texts move.
+    ``exclude`` is a Column over ``doc_id``; rows it marks never take part, nor do ids
+    that ``docs`` doesn't hold. One text counts for each id (the least, where an id
+    repeats), chosen by Spark before anything is collected. Texts longer than a
+    sixteenth of ``max_bytes`` aren't learned from.
     """
     spark = docs.sparkSession
-    ids = (
-        labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~exclude)
-        .groupBy("doc_id").agg(F.max(F.col(target)).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~exclude).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(target)).cast("int").alias("y"))
+    ids = marked.join(own.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = spark.createDataFrame(ids.collect(), "doc_id long, y int")
-    found = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
-        .collect()
-    )
-    return sorted({(r.doc_id, r.text, r.y) for r in found})
+    one = own.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= max_bytes // 16).groupBy("doc_id", "y").agg(  # at most max_rows rows
+        F.min("text").alias("text"))
+    rows, size = [], 0
+    for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        size += len(r.text.encode())
+        if size > max_bytes:
+            break
+        rows.append((r.doc_id, r.text, r.y))
+    return sorted(rows)

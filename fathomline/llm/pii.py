@@ -2,15 +2,17 @@
 
 The field's features are the shapes of a token and of two tokens to either side, and
 the label before. It is trained by gradient ascent on a small labelled table and decoded
-by Viterbi over padded numpy batches, long lines in parts that hand on their state. Text is decoded where it holds a digit or an ``@``
-and some words around: elsewhere no kind of the table occurs. The field only adds spans
-to those of the patterns.
+by Viterbi over padded numpy batches, line by line and each line whole; long lines are
+decoded in parts that hand on their state. Every kind's spans hold a digit or an ``@``
+(``holds``), so a line without either is passed over and loses nothing. The field only
+adds spans to those of the patterns. All scans are linear in a line, whatever it holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,9 +26,12 @@ from fathomline.llm.pii_examples import Row, labelled_rows, luhn
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("", *KINDS)
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The contract's patterns; a match may begin where the last one ended or where a run of its first class begins, so that no run is scanned from each of its characters.
+_LOCAL, _HOST = r"[A-Za-z0-9._%+-]++@", r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])" + _LOCAL + _HOST)
+EMAIL_ON = re.compile(_LOCAL + _HOST)
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -38,15 +43,29 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c in "0123456789")
 
 
+def _emails(line: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    while m := EMAIL_ON.match(line, at) or EMAIL.search(line, at):
+        out.append(m.span())
+        at = m.end()
+    return out
+
+
+def _at_most_255(part: str) -> bool:
+    """Of digits of any number: leading zeros don't count."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def base_spans(line: str, at: int = 0) -> list[Span]:
     """(start, kind, end) of the patterns' matches, leftmost and non-overlapping for each kind; none spans a line break."""
     out = []
     if "@" in line:
-        out += [(at + m.start(), "email", at + m.end()) for m in EMAIL.finditer(line)]
+        out += [(at + a, "email", at + b) for a, b in _emails(line)]
     if "." in line:
-        out += [(at + m.start(), "ip", at + m.end()) for m in IP.finditer(line) if max(map(int, m[0].split("."))) <= 255]
+        out += [(at + m.start(), "ip", at + m.end()) for m in IP.finditer(line) if all(map(_at_most_255, m[0].split(".")))]
     for m in CARD.finditer(line):
-        if 12 <= m.end() - m.start() and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+        if 12 <= m.end() - m.start() <= 2 * 19 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((at + m.start(), "card", at + m.end()))
     if "+" in line:
         out += [(at + m.start(), "phone", at + m.end()) for m in PHONE.finditer(line) if 9 <= len(_digits(m[0])) <= 15]
@@ -200,31 +219,16 @@ def default_crf() -> Crf:
     return fit_crf(labelled_rows())
 
 
-def windows(line: str, reach: int = 120) -> list[tuple[int, int]]:
-    """Stretches of ``reach`` characters to either side of each digit or ``@``, joined where they meet and ended at white space."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(line):
-        a, b = max(0, m.start() - reach), min(len(line), m.end() + reach)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    cut = []
-    for a, b in out:
-        while a and not line[a - 1].isspace():
-            a -= 1
-        while b < len(line) and not line[b].isspace():
-            b += 1
-        if cut and a <= cut[-1][1]:
-            cut[-1] = cut[-1][0], max(b, cut[-1][1])
-        else:
-            cut.append((a, b))
-    return cut
-
-
-#: What a stretch of a label must hold to count as a span.
-HOLDS = {"email": r"@.*[.]", "ip": r"^\d+([.]\d+){3}$", "card": r"^(\D*\d){12,19}\D*$", "phone": r"^(\D*\d){9,15}\D*$", "secret": r"^(?=.*\d)(?=.*[A-Za-z])\w{20,}$"}
-HOLDS = {k: re.compile(v, re.DOTALL | re.ASCII) for k, v in HOLDS.items()}
+def holds(kind: str, s: str) -> bool:
+    """Whether a stretch that the field labels can be of its kind: a check of what the kind must hold, a digit or an ``@`` in any case."""
+    n = sum(c in "0123456789" for c in s)
+    if kind == "email":
+        return "." in s[s.find("@"):] if "@" in s else False
+    if kind == "ip":
+        return re.fullmatch(r"[0-9]++(?:\.[0-9]++){3}", s) is not None
+    if kind == "secret":
+        return len(s) >= 20 and 0 < n < len(s) and re.fullmatch(r"[0-9A-Za-z_]++", s) is not None
+    return 12 <= n <= 19 if kind == "card" else 9 <= n <= 15
 
 
 def tag(texts: list[str], crf: Crf, batch: int = 256, long: int = 512) -> list[list[Span]]:
@@ -239,23 +243,21 @@ def tag(texts: list[str], crf: Crf, batch: int = 256, long: int = 512) -> list[l
                 e += 1
             if row[t]:
                 a, b = at + spans[t][0], at + spans[e - 1][1]
-                if HOLDS[LABELS[row[t]]].search(texts[i][a:b]):
+                if holds(LABELS[row[t]], texts[i][a:b]):
                     out[i].append((a, LABELS[row[t]], b))
             t = e
 
-    jobs = []  # (text, offset of the stretch, offsets of its tokens, ids)
+    jobs = []  # (text, offset of the line, offsets of its tokens, ids)
     for i, text in enumerate(texts):
         at = 0
         while m := TRIGGER.search(text, at):
             a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
             b = len(text) if b < 0 else b
-            line = text[a:b]
-            for x, y in windows(line):
-                ids, spans = crf.ids(line[x:y])
-                if len(ids) > long:
-                    add(i, a + x, spans, crf.viterbi_long(np.array(ids)).tolist())
-                else:
-                    jobs.append((i, a + x, spans, ids))
+            ids, spans = crf.ids(text[a:b])
+            if len(ids) > long:
+                add(i, a, spans, crf.viterbi_long(np.array(ids)).tolist())
+            else:
+                jobs.append((i, a, spans, ids))
             at = b + 1
     jobs.sort(key=lambda j: len(j[3]))
     for first in range(0, len(jobs), batch):
@@ -273,6 +275,18 @@ def tag(texts: list[str], crf: Crf, batch: int = 256, long: int = 512) -> list[l
     return out
 
 
+def apart(more: list[Span], base: list[Span]) -> list[Span]:
+    """The spans of ``more`` that no span of ``base`` (sorted by start) touches; the ones of ``base`` may overlap."""
+    starts = [s[0] for s in base]
+    reach = np.maximum.accumulate([s[2] for s in base]).tolist()
+    out = []
+    for s in more:
+        before = bisect_left(starts, s[2])  # those that begin before its end
+        if not before or reach[before - 1] <= s[0]:
+            out.append(s)
+    return out
+
+
 def find_spans(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]:
     """(the patterns' spans, all spans) of every text, by start and kind; the field adds where no pattern's span is touched."""
     order = lambda s: (s[0], KINDS.index(s[1]), s[2])
@@ -285,7 +299,7 @@ def find_spans(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]
             base += base_spans(text[a:b], a)
             at = b + 1
         base.sort(key=order)
-        more = [s for s in more if all(s[2] <= x[0] or x[2] <= s[0] for x in base)] if more else []
+        more = apart(more, base) if more and base else more
         out.append((base, sorted(base + more, key=order) if more else base))
     return out
 
@@ -327,7 +341,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redact_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``text`` redacted, and ``n_chars`` (where there is one) counted anew; null texts stay null."""
+    """All columns of ``docs`` with ``text`` redacted, and ``n_chars`` (where there is one) counted anew.
+
+    Null texts stay null, empty ones empty; every row comes back, repeated ones as often
+    as they were; other columns pass through; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(crf or default_crf())
