@@ -1,7 +1,8 @@
 """Packing of tokenised documents into sequences: dominance reduction, then best fit.
 
-Tasks tokenise; what the driver sees is one count for each piece length, so the plan's
-work is bounded by the sequence length and not by the corpus. The plan fixes sets of
+Tasks tokenise; what the driver sees is one count for each piece length, and the plan
+holds every set of lengths once with how often it occurs, so its size and the driver's
+work are bounded by the sequence length and not by the corpus. The plan fixes sets of
 lengths that provably dominate every other way to place their longest member
 (Martello and Toth), shrinks the instance by them, and gives the rest to best-fit
 decreasing. Pieces of one length are interchangeable: each takes its place by its rank
@@ -97,7 +98,7 @@ def tokenise(docs: DataFrame, path: str, length: int = 1024, end_id: int = 2) ->
     A null text counts as empty and still has its end id; repeated rows give repeated
     pieces; extra columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession, "4m")
+    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -127,6 +128,10 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[int, li
     * j + k fills the sequence, or no two others fit: {j, k};
     * two others fit but no three, and no pair is longer than k: {j, k};
     * two others fit but no three, and beside k fits an a no shorter than the shorter one of any pair: {j, a, k}.
+
+    Taking pieces out makes nothing fit that didn't, so the set stays dominant while all
+    its lengths are there: it is fixed as often as they last, and the entries are bounded
+    by the number of lengths, not of pieces.
     """
     fixed = []
 
@@ -175,8 +180,6 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[int, li
             while counts[j] > 0 and (chosen := decide(int(j))):
                 need = {s: chosen.count(s) for s in chosen}
                 times = min(int(counts[s]) // n for s, n in need.items())
-                if len(chosen) > 1 and chosen[0] + sum(chosen[1:]) != capacity:
-                    times = 1 if times > 1 and counts[j] != times else times
                 for s, n in need.items():
                     counts[s] -= times * n
                 fixed.append((times, chosen))
@@ -244,7 +247,8 @@ def rank_in(df: DataFrame, by: str, order: list[str], rows: int, per_bucket: int
     """Adds ``rank``: 0, 1, ... among the rows of equal ``by``, of which any share may be equal.
 
     Rows are ranked inside hash buckets of about ``per_bucket`` rows, whose first ranks
-    are running sums of their counts.
+    are running sums of their counts. ``order`` tells all rows apart, so equal texts and
+    repeated rows spread over the buckets like any others.
     """
     buckets = 16 + rows // per_bucket
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
@@ -257,16 +261,17 @@ def rank_in(df: DataFrame, by: str, order: list[str], rows: int, per_bucket: int
 def pack_documents(docs: DataFrame, path: str, length: int = 1024, end_id: int = 2) -> DataFrame:
     """The pieces of ``tokenise`` with ``sequence_id`` and ``offset``: as few sequences as the method finds.
 
-    Cases as in ``tokenise``. Sequences are filled from offset 0 without gaps.
+    Cases as in ``tokenise``. Sequences are filled from offset 0 without gaps. Every
+    piece gets a row number when it is written, which later tells repeated rows apart.
     """
     spark = docs.sparkSession
-    pieces = durable(tokenise(docs, path, length, end_id), "pieces")
+    pieces = durable(tokenise(docs, path, length, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(length + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``length`` rows
         counts[r.length] = r.n
     table = places(pack_lengths(counts, length))
     shared = spark.sparkContext.broadcast(table)
-    ranked = rank_in(pieces, "length", ["doc_id", "piece", "ids_crc32"], int(counts.sum()))
+    ranked = rank_in(pieces, "length", ["doc_id", "piece", "row"], int(counts.sum()))
 
     def run(batches):
         t = shared.value

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fathomline.llm.common import durable
+
 
 @dataclass(frozen=True)
 class Shard:
@@ -73,12 +75,13 @@ def place(key: Column, topology: tuple[Shard, ...]) -> Column:
     return level(list(topology), [lambda s: s.region, lambda s: f"{s.region}/{s.rack}", lambda s: f"{s.region}/{s.rack}/{s.shard}"])
 
 
-def number_slots(df: DataFrame, order: list[str], buckets: int = 4096) -> DataFrame:
+def number_slots(df: DataFrame, order: list[str], buckets: int = 4096, broadcast_rows: int = 1 << 20) -> DataFrame:
     """Adds ``slot``: 0, 1, 2, ... within each ``shard``, without gaps.
 
     A shard may hold any share of the rows, so it is numbered in ``buckets`` hash
     buckets: counts per (shard, bucket) give each bucket's first slot, a window ranks
-    the rows inside a bucket. The offsets are at most shards x buckets rows.
+    the rows inside a bucket. ``order`` must tell all rows apart. The first slots are
+    broadcast where there can be no more than ``broadcast_rows`` of them.
     """
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = df.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -86,10 +89,11 @@ def number_slots(df: DataFrame, order: list[str], buckets: int = 4096) -> DataFr
         "shard", "_bucket",
         (F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_first"),
     )
+    few = counts.limit(broadcast_rows + 1).count() <= broadcast_rows
     rank = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy(*order)) - 1
     return (
         df.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), ["shard", "_bucket"])  # at most shards x buckets rows
+        .join(F.broadcast(offsets) if few else offsets, ["shard", "_bucket"])
         .withColumn("slot", (F.col("_first") + F.col("_rank")).cast("long"))
         .drop("_bucket", "_rank", "_first")
     )
@@ -100,17 +104,19 @@ def shard_documents(docs: DataFrame, topology: tuple[Shard, ...] = even_topology
 
     Law ``key``: the id and the topology decide, nothing else. Returns doc_id, size
     (UTF-8 bytes + 1), text_crc32, shard, slot, grown_shard (with one more shard).
-    Repeated ids share a shard and get slots of their own, in order of text; a null
-    id is one key, a null text has no bytes (crc32 0). Only narrow columns are
-    shuffled. Columns of other names are ignored; an empty table gives no rows.
+    Repeated ids share a shard and get slots of their own, in order of text; repeated
+    rows are told apart by a row number, so they spread over the slot buckets too. A
+    null id is one key, a null text has no bytes (crc32 0). Only narrow columns are
+    written and shuffled. Columns of other names are ignored; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("row"),
     )
     placed = narrow.withColumn("shard", place(F.col("doc_id"), topology)).withColumn(
         "grown_shard", place(F.col("doc_id"), with_new_shard(topology))
     )
-    return number_slots(placed, ["doc_id", "text_crc32", "size"])
+    return number_slots(durable(placed, "placed"), ["doc_id", "text_crc32", "row"]).drop("row")
