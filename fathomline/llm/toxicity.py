@@ -1,12 +1,14 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings that tell toxic from other examples (chi-squared);
-their document counts come from all documents. Examples lie in blocks of an inverted
-index that stores, for every term, each block's largest weight. A query bounds every
-block from above, reads blocks in falling order of the bound and stops where no
-unread block can reach its k-th best: the neighbours found are exact. Neighbours
-vote with inverse-distance weights; an isotonic curve, fitted on leave-one-out votes
-of the examples, makes a probability of the vote.
+Terms are all words of the examples, none left out. A term weighs its inverse document
+frequency, counted over all documents, times a relevance: one for words that tell toxic
+from other examples best, down to a floor for words that tell nothing. Examples lie in
+blocks of an inverted index whose entries are (term, block) with the block's largest
+weight. A query bounds every block from above, scores the most promising ones, and then
+all that may still hold one of its k best: the neighbours found are exact. Neighbours
+vote with inverse-distance weights; an isotonic curve makes a probability of the vote.
+It is fitted on votes of examples whose own labels had no part in the relevances nor,
+the example being left out, in the vote.
 """
 
 from __future__ import annotations
@@ -20,96 +22,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import held_out, labelled_sample, small_batches
+from fathomline.llm.common import by_name, fields_of, fresh, held_out, labelled_sample, small_batches
 
 WORD = re.compile(r"\w+")
+Vector = tuple[np.ndarray, np.ndarray]
 
 
-class Terms:
-    """Maps words to term numbers: the word itself and its beginnings (3 to ``longest`` letters, written with ``*``)."""
-
-    def __init__(self, names: list[str], longest: int = 8, cache: int = 200_000):
-        self.names, self.longest, self.cache = names, longest, cache
-        self.ids = {t: i for i, t in enumerate(names)}
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def __reduce__(self):
-        return Terms, (self.names, self.longest, self.cache)
-
-    @staticmethod
-    def of(word: str, longest: int = 8) -> list[str]:
-        return [word, *(word[:n] + "*" for n in range(3, min(len(word), longest) + 1))]
-
-    def counts(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        seen, ids = self.seen, self.ids
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            found = seen.get(word)
-            if found is None:
-                if len(seen) >= self.cache:
-                    seen.clear()
-                found = seen[word] = tuple(ids[t] for t in self.of(word, self.longest) if t in ids)
-            for t in found:
-                out[t] = out.get(t, 0) + n
-        return out
-
-
-def choose_terms(rows: list, max_terms: int, least: float = 10.83, min_docs: int = 3) -> list[str]:
-    """The terms whose presence goes with the label: chi-squared of at least ``least`` (p = 0.001), the largest first."""
-    with_term: Counter[str] = Counter()
-    toxic: Counter[str] = Counter()
-    for _, text, y in rows:
-        found = {t for w in set(WORD.findall(text.lower())) for t in Terms.of(w)}
-        with_term.update(found)
-        if y:
-            toxic.update(found)
-    n, pos = len(rows), sum(y for *_, y in rows)
-    scored = []
-    for t, d in with_term.items():
-        if d >= min_docs and (a := toxic[t]) * n > d * pos:  # terms of the toxic side: the other side is everything else
-            b, c = d - a, pos - a
-            e = n - a - b - c
-            x = n * (a * e - b * c) ** 2 / max(1, (a + b) * (c + e) * (a + c) * (b + e))
-            if x >= least:
-                scored.append((-x, t))
-    return [t for _, t in sorted(scored)[:max_terms]]
+def words_of(text: str) -> Counter[str]:
+    return Counter(WORD.findall(text.lower()))
+
+
+def relevance(present: list[np.ndarray], labels: np.ndarray, terms: int, floor: float = 0.02, sure: float = 3.84) -> np.ndarray:
+    """A weight for every term: the association of its presence with label 1 (phi, from chi-squared beyond ``sure``, p = 0.05), and ``floor`` for all."""
+    n, pos = len(labels), labels.sum()
+    found = np.bincount(np.concatenate([np.zeros(0, np.int64), *present]), minlength=terms).astype(float)
+    a = np.bincount(np.concatenate([np.zeros(0, np.int64), *[p for p, y in zip(present, labels, strict=True) if y]]), minlength=terms).astype(float)
+    b, c = found - a, pos - a
+    e = n - a - b - c
+    chi = n * (a * e - b * c) ** 2 / np.maximum(1, (a + b) * (c + e) * (a + c) * (b + e))
+    return floor + np.where(a * n > found * pos, np.sqrt(np.maximum(0, chi - sure) / max(n, 1)), 0)
 
 
 class BlockMaxIndex:
-    """Exact cosine neighbours among examples of sparse unit vectors."""
+    """Exact cosine neighbours among examples of sparse unit vectors: (term numbers, weights), each term once."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 32):
+    def __init__(self, vectors: list[Vector], terms: int, block: int = 32):
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        #: Examples by place; ones with the same weightiest term lie side by side.
         self.order = np.array(sorted((i for i in range(len(vectors)) if lead[i] >= 0), key=lambda i: (lead[i], i)), np.int64)
-        blocks = [self.order[i:i + block] for i in range(0, len(self.order), block)]
-        self.members = blocks
-        self.bounds = np.zeros((terms, len(blocks)))
-        self.row = np.zeros((len(blocks), terms), np.int32)
-        self.weights = []
-        for b, members in enumerate(blocks):
-            own = np.unique(np.concatenate([vectors[i][0] for i in members]))
-            self.row[b, own] = np.arange(1, len(own) + 1)
-            m = np.zeros((len(own) + 1, len(members)))
-            for j, i in enumerate(members):
-                m[self.row[b, vectors[i][0]], j] = vectors[i][1]
-            self.bounds[own, b] = m[1:].max(1)
-            self.weights.append(m)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        term = np.concatenate([none, *[vectors[i][0] for i in self.order]])
+        place = np.repeat(np.arange(len(self.order)), [len(vectors[i][0]) for i in self.order])
+        weight = np.concatenate([np.zeros(0), *[vectors[i][1] for i in self.order]])
+        by_term = np.lexsort((place, term))
+        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
+        of = self.place // block
+        self.blocks = -(-len(self.order) // block)
+        start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))) if len(term) else none
+        self.start = np.append(start, len(term))
+        self.block = of[start]
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.first = np.searchsorted(term[start], np.arange(terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties to the smaller example."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms) or not self.members:
-            return none
-        bounds = weights @ self.bounds[terms]
-        ids, cos = none
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(ids) >= k and bounds[b] < cos[k - 1] - 1e-12:
-                break
-            c = weights @ self.weights[b][self.row[b, terms]]
-            ids, cos = np.concatenate([ids, self.members[b][c > 0]]), np.concatenate([cos, c[c > 0]])
-            best = np.lexsort((ids, -cos))[:k]
-            ids, cos = ids[best], cos[best]
-        return ids, cos
+        n = self.first[terms + 1] - self.first[terms] if len(terms) else np.zeros(0, np.int64)
+        if not n.sum():
+            return np.zeros(0, np.int64), np.zeros(0)
+        entries = np.repeat(self.first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        weights = np.repeat(weights, n)
+        block = self.block[entries]
+        bounds = np.bincount(block, weights * self.most[entries], self.blocks)
+
+        def scores(chosen: np.ndarray) -> np.ndarray:
+            on = chosen[block]
+            e = entries[on]
+            size = self.start[e + 1] - self.start[e]
+            at = np.repeat(self.start[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            return np.bincount(self.place[at], np.repeat(weights[on], size) * self.weight[at], len(self.order))
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argpartition(-bounds, few - 1)[:few] if self.blocks > few else slice(None)] = True
+        cos = scores(first)
+        kth = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
+        rest = ~first & (bounds > 0) & (bounds >= kth - 1e-9)
+        if rest.any():
+            cos = cos + scores(rest)
+            kth = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
+        some = np.flatnonzero((cos > 0) & (cos >= kth))
+        ids = self.order[some]
+        best = np.lexsort((ids, -cos[some]))[:k]
+        return ids[best], cos[some][best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +116,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicityModel:
-    terms: Terms
+    terms: dict[str, int]
     idf: np.ndarray
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     examples: list[int] = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     index: BlockMaxIndex | None = None
@@ -142,95 +126,109 @@ class ToxicityModel:
     k: int = 15
     curve: tuple[np.ndarray, np.ndarray] | None = None
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = self.terms.counts(text)
-        t = np.fromiter(found.keys(), np.int64, len(found))
-        w = (1 + np.log(np.fromiter(found.values(), float, len(found)))) * self.idf[t]
+    def counts(self, text: str) -> Vector:
+        """The numbers of the text's known words and how often each occurs."""
+        get = self.terms.get
+        found = [(t, n) for w, n in words_of(text).items() if (t := get(w)) is not None]
+        return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], float)
+
+    def vector(self, counts: Vector, weight: np.ndarray) -> Vector:
+        t, n = counts
+        w = (1 + np.log(n)) * weight[t]
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
     def vote(self, ids: np.ndarray, cos: np.ndarray, prior_weight: float = 0.5) -> float:
+        if not len(ids):
+            return self.prior
         w = 1 / (0.1 + np.sqrt(np.maximum(0, 2 - 2 * cos)))
         return float((w @ self.labels[ids] + prior_weight * self.prior) / (w.sum() + prior_weight))
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, cos = self.index.nearest(*self.vector(text), self.k) if self.index else (np.zeros(0, np.int64), np.zeros(0))
-        vote = self.vote(ids, cos) if len(ids) else self.prior
+        ids, cos = self.index.nearest(*self.vector(self.counts(text), self.weight), self.k) if self.index else (np.zeros(0, np.int64), np.zeros(0))
+        vote = self.vote(ids, cos)
         return float(np.interp(vote, *self.curve)) if self.curve else vote, ids, cos
 
-    def finish(self, rows: list) -> None:
-        """Indexes the examples and fits the curve on votes that leave the example itself out."""
-        vectors = [self.vector(text) for _, text, _ in rows]
+    def finish(self, rows: list, folds: int = 2) -> None:
+        """Weighs the terms, indexes the examples and fits the curve on each fold's votes under relevances of the other folds."""
         self.examples, self.labels = [r[0] for r in rows], np.array([r[2] for r in rows], float)
         self.prior = float(self.labels.mean()) if rows else 0.0
+        counts = [self.counts(text) for _, text, _ in rows]
+        fold = np.arange(len(rows)) % folds
+        votes = np.zeros(len(rows))
+
+        def weigh(of: np.ndarray) -> tuple[np.ndarray, list[Vector]]:
+            weight = self.idf * relevance([counts[i][0] for i in of], self.labels[of], len(self.idf))
+            return weight, [self.vector(c, weight) for c in counts]
+
+        for f in range(folds if len(rows) else 0):
+            _, vectors = weigh(np.flatnonzero(fold != f))
+            index = BlockMaxIndex(vectors, len(self.idf))
+            for i in np.flatnonzero(fold == f).tolist():
+                ids, cos = index.nearest(*vectors[i], self.k + 1)
+                other = ids != i
+                votes[i] = self.vote(ids[other][:self.k], cos[other][:self.k])
+        self.weight, vectors = weigh(np.arange(len(rows)))
         self.index = BlockMaxIndex(vectors, len(self.idf))
-        if not rows:
-            return
-        votes = []
-        for i, v in enumerate(vectors):
-            ids, cos = self.index.nearest(*v, self.k + 1)
-            other = ids != i
-            ids, cos = ids[other][:self.k], cos[other][:self.k]
-            votes.append(self.vote(ids, cos) if len(ids) else self.prior)
-        self.curve = isotonic(np.array(votes), self.labels)
-
-
-def document_counts(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
+        if rows:
+            self.curve = isotonic(votes, self.labels)
+
+
+def document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     """The number of documents, and in how many of them each term occurs: whole texts, all rows.
 
-    Each task sends one count a term, so what reaches the driver is bounded by the terms.
+    Each task sends one count a term, so what is shuffled and what reaches the driver
+    are bounded by the examples' words.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        t, rows = shared.value, 0
-        counts = np.zeros(len(t.names) + 1, np.int64)
+        get, rows = shared.value.get, 0
+        counts: Counter[int] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 rows += 1
-                counts[list(t.counts(text))] += 1
+                counts.update(t for w in set(WORD.findall(text.lower())) if (t := get(w)) is not None)
         counts[-1] = rows
-        some = np.flatnonzero(counts)
-        yield pa.record_batch({"term": pa.array(some.astype("i4")), "n": pa.array(counts[some])})
+        yield pa.record_batch({"term": pa.array(list(counts), pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
 
     found = (
         docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term int, n long")
-        .groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most terms + 1 rows
+        .groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most terms + 1 rows
     )
-    out = np.zeros(len(terms.names) + 1)
-    for r in found:
-        out[r.term] = r.n
+    out = np.zeros(len(terms) + 1)
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return int(out[-1]), out[:-1]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_terms: int = 2048, k: int = 15) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, k: int = 15) -> ToxicityModel:
     """Learns from at most ``max_rows`` labelled documents, none of them held out; document counts come from all of ``docs``.
 
-    Without a telling term or a labelled row every score is the toxic share (or 0).
+    Without a labelled row every score is 0; where no example is toxic it is 0 too.
     """
     rows = labelled_sample(docs, labels, "toxic", held_out(F.col("doc_id"), 4, 2), max_rows)
-    terms = Terms(choose_terms(rows, max_terms))
-    n, df = document_counts(docs, terms) if terms.names else (0, np.zeros(0))
-    model = ToxicityModel(terms, np.log((1 + n) / (1 + df)) + 1, k=k)
+    terms = {w: i for i, w in enumerate(sorted({w for _, text, _ in rows for w in words_of(text)}))}
+    n, found = document_counts(docs, terms) if terms else (0, np.zeros(0))
+    model = ToxicityModel(terms, np.log((1 + n) / (1 + found)) + 1, k=k)
     model.finish(rows)
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.3, evidence: int = 3, prefix: str = "") -> DataFrame:
-    """The columns ``keep`` (default doc_id) with score, predicted and evidence (named with ``prefix``), from the whole ``text``.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.3, evidence: int = 3, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
+    """The columns ``keep`` (default doc_id) with score, predicted and evidence (called ``names``), from the whole ``text``.
 
     ``evidence`` lists the nearest examples (doc_id, cosine, toxic), nearest first. A
-    null text counts as empty and, like any text without a known term, has no
-    neighbour: its vote is the prior. Repeated rows give repeated rows; an empty table
-    gives no rows. The model travels as one broadcast of bounded size.
+    null text counts as empty and, like any text without a known word, has no
+    neighbour: its vote is the prior. Equal cosines go to the smaller example's id.
+    Repeated rows give repeated rows; columns of other names are ignored; an empty table
+    gives no rows. The model travels as one broadcast, bounded by the sample.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     columns = keep or ["doc_id"]
     at = len(columns)
-    source = docs.select(*columns, F.coalesce("text", F.lit("")).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:at])
+    source = docs.select(*by_name(columns), F.coalesce("text", F.lit("")).alias(*fresh(columns, "body")))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
@@ -240,7 +238,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
             s = np.array([f[0] for f in found])
             said = [[{"doc_id": m.examples[i], "cosine": float(c), "toxic": int(m.labels[i])} for i, c in zip(ids[:evidence], cos, strict=False)] for _, ids, cos in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:at], pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32()), pa.array(said, kind)],
-                [*columns, *(prefix + n for n in ("score", "predicted", "evidence"))])
+                [*batch.columns[:at], pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32()), pa.array(said, kind)], [*columns, *names])
 
-    return source.mapInArrow(run, f"{fields}, {prefix}score double, {prefix}predicted int, {prefix}evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
+    return source.mapInArrow(
+        run, f"{fields_of(source, columns)}, `{names[0]}` double, `{names[1]}` int, `{names[2]}` array<struct<doc_id: bigint, cosine: double, toxic: int>>")
