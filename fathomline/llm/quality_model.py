@@ -1,29 +1,31 @@
 """Quality classifier: random-indexing word vectors, pooled, then a two-layer network.
 
-Every word of the training sample has a sparse ternary index vector (from a hash of
-the word); a word's vector is its index vector plus those of its neighbours, summed
-over the sample. A document is the mean of its words' vectors with a few pooled
-figures; a tanh layer and a logistic output score it. A temperature, fitted on a
-part of the sample the network didn't see, calibrates the probability.
+Every word has a sparse ternary index vector, drawn from a hash of the word: no word
+needs to be known beforehand. Words that the training sample holds more than once also
+have a context vector, the sum of their neighbours' index vectors over the sample. A
+document is the mean of its words' vectors with a few pooled figures; a tanh layer and a
+logistic output score it. A temperature, fitted on a part of the sample the network
+didn't see, calibrates the probability.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import held_out, labelled_sample, small_batches
+from fathomline.llm.common import by_name, fields_of, fresh, held_out, labelled_sample, small_batches
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Words outside the vocabulary share a vector with others of their kind.
+#: Words by what they are made of; a document's shares of them are among its figures.
 KINDS = ("letters 1-3", "letters 4-8", "letters 9-15", "letters 16+", "digits", "mixed", "marks 1", "marks 2+")
+FIGURES = 5 + len(KINDS)
 
 
 def kind(word: str) -> int:
@@ -36,26 +38,33 @@ def kind(word: str) -> int:
     return 6 if len(word) == 1 else 7
 
 
-def index_vector(word: str, dims: int, nonzero: int = 6) -> np.ndarray:
-    rng = np.random.default_rng(zlib.crc32(word.encode()))
-    out = np.zeros(dims, np.float32)
-    out[rng.choice(dims, nonzero, replace=False)] = rng.choice([-1.0, 1.0], nonzero)
+def index_vectors(words: list[str], dims: int, nonzero: int = 6) -> np.ndarray:
+    """A row for each word with ``nonzero`` entries of +1 or -1 (fewer where two fall together) at places drawn from its hash."""
+    z = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.zeros((len(words), dims), np.float32)
+    rows = np.arange(len(words))
+    for _ in range(nonzero):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+        out[rows, ((z >> np.uint64(33)) % np.uint64(dims)).astype(np.int64)] += np.where(z >> np.uint64(20) & np.uint64(1), 1, -1)
     return out
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+
 @dataclass
 class WordVectors:
     rows: dict[str, int]
     matrix: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[str], dims: int, max_words: int, window: int = 2) -> WordVectors:
+    def fit(cls, texts: list[str], dims: int, window: int = 2) -> WordVectors:
         tokens = [TOKEN.findall(t) for t in texts]
         counts = Counter(w for t in tokens for w in t)
-        kept = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))[:max_words]
-        rows = {w: i + len(KINDS) for i, w in enumerate(kept)}
-        index = np.stack([index_vector(w, dims) for w in [*KINDS, *kept]])
-        ids = np.array([i for t in tokens for i in [*(rows.get(w, -1) if w in rows else kind(w) for w in t), *[-1] * window]], np.int64)
+        number = {w: i for i, w in enumerate(sorted(counts))}
+        index = index_vectors(list(number), dims)
+        ids = np.array([i for t in tokens for i in [*(number[w] for w in t), *[-1] * window]], np.int64)
         real = ids >= 0
         context = np.zeros_like(index)
         for j in range(dims):
@@ -65,24 +74,28 @@ class WordVectors:
                 near[k:] += x[:-k]
                 near[:-k] += x[k:]
             context[:, j] = np.bincount(ids[real], near[real], len(index))
-        size = lambda m: np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-        both = index / size(index) + context / size(context)
-        return cls(rows, (both / size(both)).astype(np.float32))
+        kept = [w for w in number if counts[w] > 1]  # one occurrence says little of a word's neighbours
+        at = [number[w] for w in kept]
+        return cls({w: i for i, w in enumerate(kept)}, unit(unit(index[at]) + unit(context[at])).astype(np.float32))
 
     def pooled(self, text: str) -> np.ndarray:
-        """The mean word vector, its length, log(1 + words), the share of distinct words and of marks, and the largest word's share."""
+        """The mean word vector, then its length, log(1 + words), the shares of distinct words and of marks, the largest word's share and each kind's share."""
         counts = Counter(TOKEN.findall(text))
-        out = np.zeros(self.matrix.shape[1] + 5, np.float32)
+        dims = self.matrix.shape[1]
+        out = np.zeros(dims + FIGURES, np.float32)
         if not counts:
             return out
         get = self.rows.get
-        ids = np.array([r if (r := get(w)) is not None else kind(w) for w in counts])
+        ids = np.array([get(w, -1) for w in counts])
         n = np.fromiter(counts.values(), np.float32, len(counts))
-        total = n.sum()
-        mean = n @ self.matrix[ids] / total
-        marks = sum(c for w, c in counts.items() if not (w[0].isalnum() or w[0] == "_"))
-        out[:-5] = mean
-        out[-5:] = np.linalg.norm(mean), np.log1p(total), len(counts) / total, marks / total, n.max() / total
+        total, known = n.sum(), ids >= 0
+        mean = n[known] @ self.matrix[ids[known]]
+        if not known.all():
+            mean = mean + n[~known] @ unit(index_vectors([w for w, i in zip(counts, ids, strict=True) if i < 0], dims))
+        mean = mean / total
+        kinds = np.bincount([kind(w) for w in counts], n, len(KINDS)) / total
+        out[:dims] = mean
+        out[dims:] = np.linalg.norm(mean), np.log1p(total), len(counts) / total, kinds[6] + kinds[7], n.max() / total, *kinds
         return out
 
 
@@ -141,7 +154,7 @@ class QualityModel:
         return self.network.scores(np.stack([self.vectors.pooled(t) for t in texts]))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, dims: int = 64, max_words: int = 20_000) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, dims: int = 64) -> QualityModel:
     """Trains on at most ``max_rows`` labelled documents, none of them held out.
 
     Where the sample has one class only (or no row), every score is that class's share (or 0.5).
@@ -152,30 +165,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, dims:
         return QualityModel(None, None, float(y.mean()) if len(y) else 0.5)
     texts = [r[1] for r in rows]
     order = np.random.default_rng(3).permutation(len(texts))
-    vectors = WordVectors.fit(texts, dims, max_words)
+    vectors = WordVectors.fit(texts, dims)
     return QualityModel(vectors, Network.fit(np.stack([vectors.pooled(t) for t in texts])[order], y[order]))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, threshold: float = 0.3, prefix: str = "") -> DataFrame:
-    """The columns ``keep`` (default doc_id) with score and predicted (named with ``prefix``), from the whole ``text``.
+def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns ``keep`` (default doc_id) with score and predicted (called ``names``), from the whole ``text``.
 
-    A null text counts as empty; repeated rows give repeated rows; an empty table
-    gives no rows. The model travels as one broadcast of bounded size.
+    A null text counts as empty, which has a score like any other; repeated rows give
+    repeated rows; columns of other names are ignored; an empty table gives no rows. The
+    model travels as one broadcast, bounded by the sample.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     columns = keep or ["doc_id"]
     at = len(columns)
-    source = docs.select(*columns, F.coalesce("text", F.lit("")).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:at])
+    source = docs.select(*by_name(columns), F.coalesce("text", F.lit("")).alias(*fresh(columns, "body")))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 s = shared.value.scores(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:at], pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"))],
-                    [*columns, prefix + "score", prefix + "predicted"])
+                    [*batch.columns[:at], pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"))], [*columns, *names])
 
-    return source.mapInArrow(run, f"{fields}, {prefix}score double, {prefix}predicted int")
+    return source.mapInArrow(run, f"{fields_of(source, columns)}, `{names[0]}` double, `{names[1]}` int")
