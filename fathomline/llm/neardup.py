@@ -1,10 +1,10 @@
 """SimHash near-duplicates by an inverted index over byte positions with count filtering.
 
-A fingerprint has eight positional bytes. Two fingerprints that differ in at most two
-bits share at least six of them, hence at least two of their four byte pairs. The
-index lists fingerprints by two byte pairs (four positional bytes) at a time: six lists
-for each. For two members of a list the shared positional bytes are tallied; pairs that
-reach the guaranteed six are kept, and a bit count verifies them.
+A fingerprint has eight positional bytes, taken as a ring. The index lists fingerprints
+by every window of three adjacent positional bytes: eight lists for each. Fingerprints
+that differ in at most two bits differ in at most two bytes; what is left of the ring
+holds at least two whole windows. So the matches of every pair are tallied over all
+lists, pairs that reach the guaranteed two are kept, and a bit count verifies them.
 
 A list of many different fingerprints isn't paired up: its members go to a second
 index, by every fingerprint at most one bit away (65 for 64 bits). Two fingerprints
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import durable, small_batches
+from fathomline.llm.common import by_name, durable, fields_of, fresh, only, small_batches
 from fathomline.llm.graph import components
 
-BITS, GUARANTEED = 2, 6
+BITS = 2
+#: Bytes of a window, and how many of the eight windows any two bytes leave whole at least.
+WINDOW, GUARANTEED = 3, 2
 #: Set bits of every byte value, by bit.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -53,49 +54,59 @@ def fingerprints(docs: DataFrame, keep: list[str], out: str = "fp") -> DataFrame
     spark = docs.sparkSession
     small_batches(spark)
     at = len(keep)
-    source = docs.select(*keep, F.coalesce(docs["text"], F.lit("")).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:at])
+    source = docs.select(*by_name(keep), F.coalesce("text", F.lit("")).alias(*fresh(keep, "body")))
 
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found)], [*keep, out])
 
-    return source.mapInArrow(run, f"{fields}, `{out}` long")
+    return source.mapInArrow(run, f"{fields_of(source, keep)}, `{out}` long")
 
 
-def shared_bytes(x: Column, y: Column) -> Column:
-    """How many of the eight positional bytes are equal."""
-    differ = x.bitwiseXOR(y)
-    return sum((F.when(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
+def postings(prints: DataFrame) -> DataFrame:
+    """(slot, bytes, fp): every distinct fingerprint of ``prints`` (fp) under each window of its positional bytes."""
+    fp = F.col("fp")
+    return prints.select("fp", F.inline(F.array(*[
+        F.struct(
+            F.lit(k).cast("byte").alias("slot"),
+            F.shiftrightunsigned(F.shiftleft(fp, 8 * k).bitwiseOR(F.shiftrightunsigned(fp, 64 - 8 * k)) if k else fp, 64 - 8 * WINDOW).cast("int").alias("bytes"))
+        for k in range(8)])))
 
 
-def links(prints: DataFrame, long_list: int = 64) -> DataFrame:
-    """(u, v) over the distinct fingerprints of ``prints`` (fp): a pair for each pair of a short list, stars for long ones.
+def tallied(index: DataFrame, least: int = GUARANTEED) -> DataFrame:
+    """(u, v, matches): the pairs of fingerprints that meet in at least ``least`` lists of ``index`` (slot, bytes, fp)."""
+    x, y = index.alias("x"), index.alias("y")
+    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.fp") < F.col("y.fp")))
+    return met.groupBy(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).agg(F.count(F.lit(1)).alias("matches")).where(F.col("matches") >= least)
 
-    Every pair within two bits is linked directly or through the least member of an entry; no other pair is.
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that differ in at most two bits."""
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v")
+
+
+def stars(prints: DataFrame) -> DataFrame:
+    """(u, v): each of the distinct fingerprints (fp) with the least one at every meeting place, a fingerprint one bit from both at most."""
+    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(v - (1 << 64) if (v := 1 << k) >> 63 else v)) for k in range(64)])
+    entries = prints.select(F.explode(near).alias("near"), "fp")
+    least = entries.groupBy("near").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where(F.col("u") < F.col("most"))
+    return entries.join(least, "near").where(F.col("fp") != F.col("u")).select("u", F.col("fp").alias("v")).distinct()
+
+
+def links(prints: DataFrame, long_list: int = 16) -> DataFrame:
+    """(u, v) over the distinct fingerprints of ``prints`` (fp): pairs by tallied matches, and stars for members of long lists.
+
+    Every pair within two bits is linked directly or through the least member of an
+    entry; no other pair is. A pair of which both lie in some long list is found by the
+    stars; any other pair has all its matches in short lists. At ``long_list`` members
+    the pairs of a list cost as much as the members' 65 entries.
     """
-    pair = [F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = F.array(*[
-        F.struct(F.lit(n).cast("byte").alias("slot"), F.shiftleft(pair[i], 16).bitwiseOR(pair[j]).alias("bytes"))
-        for n, (i, j) in enumerate(combinations(range(4), 2))
-    ])
-    index = prints.select("fp", F.inline(keys))
+    index = postings(prints)
     lists = index.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     index = durable(index.join(lists, ["slot", "bytes"]), "byte-index")
-    short = index.where(F.col("n") <= long_list)
-    x, y = short.alias("x"), short.alias("y")
-    a, b = F.col("x.fp"), F.col("y.fp")
-    paired = x.join(
-        y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.bytes") == F.col("y.bytes")) & (a < b)
-        & (shared_bytes(a, b) >= GUARANTEED) & (F.bit_count(a.bitwiseXOR(b)) <= BITS),
-    ).select(a.alias("u"), b.alias("v"))
     crowded = index.where(F.col("n") > long_list).select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(v - (1 << 64) if (v := 1 << k) >> 63 else v)) for k in range(64)])
-    entries = crowded.select(F.explode(near).alias("near"), "fp")
-    least = entries.groupBy("near").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where(F.col("u") < F.col("most"))
-    stars = entries.join(least, "near").where(F.col("fp") != F.col("u")).select("u", F.col("fp").alias("v")).distinct()
-    return paired.union(stars)
+    return verified(tallied(index.where(F.col("n") <= long_list))).union(stars(crowded))
 
 
 def group_prints(found: DataFrame) -> DataFrame:
@@ -113,7 +124,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts, and texts of white space, have the fingerprint zero and link
     like any other. Repeated rows give repeated rows in one component; a null doc_id
     gets its component's id and is none itself unless no member has one (then null).
-    Extra columns are ignored; an empty table gives no rows.
+    Extra columns are ignored; an empty table gives no rows. Ties cannot arise.
     """
     found = durable(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "fingerprints")
     return found.join(group_prints(found), "fp").select(
@@ -272,8 +283,8 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
     met = meetings(index, bound).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
     near = durable(met.where(F.col("c") >= need - F.greatest(rest("nu"), rest("nv"))).select("u", "v"), "meetings")
     members = near.select(F.col("u").alias("_same")).union(near.select(F.col("v").alias("_same"))).distinct()
-    rows = found.select("_same", "_row").join(members, "_same").groupBy("_same").agg(F.min("_row").alias("_row")).select("_row")
-    texts = durable(found.select("_row", "_same", "text").join(rows, "_row", "left_semi").select("_same", "text"), "met-texts")
+    rows = found.select("_same", "_row").join(members, "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row")).select("_row")
+    texts = durable(only(found.select("_row", "_same", "text"), durable(rows, "met-rows"), "_row", keep=True).select("_same", "text"), "met-texts")
     x = texts.select(F.col("_same").alias("u"), F.col("text").alias("x"))
     y = texts.select(F.col("_same").alias("v"), F.col("text").alias("y"))
 
@@ -297,15 +308,16 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     """One document of each group, with all its columns: the smallest doc_id (a null one only where there is no other).
 
     Documents are linked whose sets of ``size``-word shingles have a similarity (shared
-    ones by all of both) of ``similarity`` or more; groups are what links connect. Texts
-    without words are alike. Equal ids are told apart by a row number given before
-    anything else is done.
+    ones by all of both) of ``similarity`` or more; groups are what links connect. Null
+    and empty texts, and others without words, are alike. Equal ids and repeated rows
+    are told apart by a row number given before anything else is done; of equal ids the
+    first row stays. Columns may have any names; an empty table gives no rows. Texts are
+    shuffled only where more rows are dropped than may be broadcast.
     """
     spark, columns = docs.sparkSession, docs.columns
     small_batches(spark)
     at = columns.index("text")
-    source = docs.withColumn("_row", F.monotonically_increasing_id())
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    source = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(by_name(columns))], F.monotonically_increasing_id().alias("_row"))
 
     def run(batches):
         hashes = _WordHashes()
@@ -313,10 +325,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
             same = [xxhash.xxh64_intdigest(shingle_set(t or "", size, hashes).tobytes()) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(same, np.uint64).view(np.int64))], [*batch.schema.names, "_same"])
 
-    found = durable(source.mapInArrow(run, f"{fields}, `_same` long"), "shingled")
-    links = durable(similar_sets(found, size, similarity), "similar")
-    narrow = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_same").alias("node"), "_row")
+    found = durable(source.mapInArrow(run, f"{fields_of(source, source.columns)}, _same long"), "shingled")
+    links = durable(similar_sets(found.select("_row", "_same", F.col(f"c{at}").alias("text")), size, similarity), "similar")
+    narrow = found.select(F.col(f"c{columns.index('doc_id')}").cast("long").alias("doc_id"), F.col("_same").alias("node"), "_row")
     named = narrow.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
-    return found.join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    dropped = durable(narrow.select("_row").join(first, "_row", "left_anti"), "dropped-rows")
+    return only(found, dropped, "_row", keep=False).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
