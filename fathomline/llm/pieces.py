@@ -1,17 +1,21 @@
 """SentencePiece encoding with source offsets, and decoding.
 
 A model's normaliser rewrites the text before its pieces are found, so a piece's
-place in the normalised text isn't its place in the source. ``Normaliser`` repeats
-the rewriting by longest-prefix matches in the model's compiled character map (a
+place in the normalised text isn't its place in the source. ``Normaliser`` does the
+rewriting by longest-prefix matches in the model's compiled character map (a
 double-array trie) and records, for every normalised byte, the source byte it stems
-from. Piece lengths then project every piece to a span of source bytes. The ids are
-the library's own; a piece sequence that doesn't add up to the recorded normalised
-text raises an error.
+from. ``Codec`` then merges the normalised characters to pieces, best score first, and
+projects every piece over the recorded alignment to a span of source bytes. Everything
+is read from the model file and done here; the tests hold ids, texts and spans against
+the reference library, with the model's own map and with a full one put into it.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import heapq
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import small_batches
-from fathomline.llm.units import encode_units
 
 SPACE_MARK = "▁".encode()
 
@@ -55,8 +58,10 @@ def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Normaliser:
     """``normalise(text)`` gives the normalised bytes and ``origin``: for each of them, and for the end, its source byte offset."""
 
-    def __init__(self, charsmap: bytes = b"", dummy_prefix: bool = True, squeeze: bool = True, mark_spaces: bool = True, space_last: bool = False):
+    def __init__(self, charsmap: bytes = b"", dummy_prefix: bool = True, squeeze: bool = True, mark_spaces: bool = True, space_last: bool = False, kept: tuple[str, ...] = ()):
         self.dummy_prefix, self.squeeze, self.space_last = dummy_prefix, squeeze, space_last
+        #: Strings that pass through unchanged, longest first.
+        self.kept = sorted((k.encode() for k in kept), key=len, reverse=True)
         self.space = SPACE_MARK if mark_spaces else b" "
         self.units, self.texts = np.zeros(0, np.uint32), b""
         if charsmap:
@@ -64,19 +69,11 @@ class Normaliser:
             self.units, self.texts = np.frombuffer(charsmap, "<u4", n // 4, 4), charsmap[4 + n:]
         self._trie = self.units.tolist()
 
-    @classmethod
-    def of_model(cls, model: bytes) -> Normaliser:
-        spec = {"name": b"", 2: b"", 3: 1, 4: 1, 5: 1}
-        suffix = 0
-        for number, value in _fields(model):
-            if number == 3:  # the normaliser's settings
-                spec |= dict(_fields(value))
-            elif number == 2:  # the trainer's; 24: white space ends a piece
-                suffix = dict(_fields(value)).get(24, 0)
-        return cls(spec[2], bool(spec[3]), bool(spec[4]), bool(spec[5]), bool(suffix))
-
     def longest(self, data: bytes, at: int) -> tuple[bytes, int]:
         """The replacement of the longest rule that matches at ``at``, else the character there; and the source bytes taken."""
+        for k in self.kept:
+            if data.startswith(k, at):
+                return k, len(k)
         trie, found, taken = self._trie, -1, 0
         if trie:
             unit = trie[0]
@@ -99,31 +96,37 @@ class Normaliser:
         data = text.encode()
         if not data:
             return b"", np.zeros(1, np.int64)
-        if not self._trie and not self.squeeze:
+        if not self._trie and not self.squeeze and not self.kept:
             return self._plain(data)
-        out, origin, last_space, at = bytearray(), [], self.squeeze, 0
-        prefix = self.dummy_prefix
+        out, origin, at = bytearray(), [], 0
+        while self.squeeze and at < len(data):  # white space that leads
+            piece, taken = self.longest(data, at)
+            if piece != b" ":
+                break
+            at += taken
+        if at == len(data):
+            return b"", np.array([at], np.int64)
+        if self.dummy_prefix and not self.space_last:
+            out += self.space
+            origin += [at] * len(self.space)
+        after_space = self.squeeze
         while at < len(data):
             piece, taken = self.longest(data, at)
-            for c in piece.decode(errors="replace"):
-                if c == " " and self.squeeze and last_space:
-                    continue
-                if prefix and not self.space_last:
-                    out += self.space
-                    origin += [at] * len(self.space)
-                prefix = False
-                last_space = c == " "
-                new = self.space if c == " " else c.encode()
+            if after_space:
+                piece = piece.lstrip(b" ")
+            if piece:
+                new = piece.replace(b" ", self.space)
                 out += new
                 origin += [at] * len(new)
+                after_space = piece.endswith(b" ")
             at += taken
-        if self.squeeze and out.endswith(self.space):
+            after_space = after_space and self.squeeze
+        end = len(data)
+        while self.squeeze and out.endswith(self.space):
             del out[-len(self.space):]
             end = origin[len(out)]
             del origin[len(out):]
-        else:
-            end = len(data)
-        if self.space_last and self.dummy_prefix and out:
+        if self.space_last and self.dummy_prefix:
             out += self.space
             origin += [end] * len(self.space)
         return bytes(out), np.array([*origin, end], np.int64)
@@ -140,102 +143,198 @@ class Normaliser:
         return out, np.append(origin, len(data))
 
 
-class Codec:
-    """Encodes and decodes with one model file."""
-
-    def __init__(self, model_path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        with open(model_path, "rb") as f:
-            self.normaliser = Normaliser.of_model(f.read())
-        n = self.model.get_piece_size()
-        self.width = np.array([
-            0 if self.model.is_control(i) else 1 if self.model.is_byte(i) else len(self.model.id_to_piece(i).encode()) for i in range(n)
-        ], np.int64)
-        self.unknown = self.model.unk_id()
-        pieces = [self.model.id_to_piece(i) for i in range(n)]
-        #: Source bytes of every id where only spaces are rewritten.
-        self.source_width = self.width.copy()
-        for i, p in enumerate(pieces):
-            if not self.model.is_control(i) and not self.model.is_byte(i):
-                self.source_width[i] = len(p.replace("▁", " ").encode())
-        m = self.normaliser
-        #: No piece spans a space that begins a word, so words may be encoded apart.
-        self.by_words = (
-            not m._trie and not m.squeeze and m.dummy_prefix and not m.space_last and m.space == SPACE_MARK
-            and not any("▁" in p.lstrip("▁") for p in pieces)
-            and any(self.model.is_byte(i) for i in range(n))  # else an unknown character has no fixed width
-        )
-
-    def _raw(self, text: str) -> np.ndarray:
-        """Ids of a text that begins with a space, which is the one the library puts there itself.
-
-        Goes through the library some words at a time: it slows down on long texts.
-        """
-        words = text[1:].split(" ")
-        some = self.model.encode([" ".join(words[i:i + 300]) for i in range(0, len(words), 300)], num_threads=1)
-        return np.concatenate([np.array(x, "<u4") for x in some])
+# What the model file calls its kinds of pieces.
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
-    def round_trip(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
-        """(ids with begin and end ids, first source bytes, end source bytes, decoded text) of every text.
 
-        Where the model allows it, a batch's distinct words are encoded and decoded once.
-        """
-        out: list = [None] * len(texts)
-        at = [i for i, t in enumerate(texts) if self.by_words and t and t[0] != " " and t[-1] != " " and "  " not in t and "▁" not in t]
-        if at:
-            seen = [True]
-
-            def encode(text):
-                ids = self._raw(text)
-                seen[0] &= self.model.decode(ids.tolist()) == text[1:]
-                return ids
-
-            ids, ends = encode_units(pa.array([texts[i] for i in at], pa.string()), encode, self.source_width, encode)
-            bos, eos = self.model.bos_id(), self.model.eos_id()
-            for i, a, b in zip(at, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                own = ids[a:b]
-                to = np.cumsum(self.source_width[own]) - 1  # the space put before the text has no source
-                begin = np.maximum(to - self.source_width[own], 0)
-                own = np.concatenate([[bos], own, [eos]]).astype("<u4")
-                n = to[-1:]
-                out[i] = own, np.concatenate([[0], begin, n]), np.concatenate([[0], to, n]), texts[i] if seen[0] else self.decode([own])[0]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for first, part in chunks([texts[i] for i in rest]):
-            ids = self.encode(part)
-            for i, t, x, d in zip(rest[first:], part, ids, self.decode(ids), strict=False):
-                out[i] = x, *self.spans(t, x), d
-        return out
+def _each_byte(error: UnicodeDecodeError):
+    return "\ufffd" * (error.end - error.start), error.end
+
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids with begin and end ids."""
-        return [np.array(x, "<u4") for x in self.model.encode(texts, num_threads=1, add_bos=True, add_eos=True)]
+codecs.register_error("each-byte", _each_byte)
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and end source byte of every id; begin and end ids have empty spans.
+
+class Codec:
+    """Encodes and decodes with one model file (byte-pair merges)."""
+
+    def __init__(self, model: bytes, cache: int = 400_000):
+        pieces, trainer, normal = [], {}, {2: b"", 3: 1, 4: 1, 5: 1}
+        for number, value in _fields(model):
+            if number == 1:
+                said = dict(_fields(value))
+                pieces.append((said[1].decode(), struct.unpack("<f", said[2])[0] if 2 in said else 0.0, said.get(3, NORMAL)))
+            elif number == 2:
+                trainer = dict(_fields(value))
+            elif number == 3:
+                normal |= dict(_fields(value))
+        if trainer.get(3, 1) != 2:
+            raise ValueError("only models of byte-pair merges are read")
+        kinds = [k for *_, k in pieces]
+        self.unknown, self.begin, self.end = (trainer.get(n, d) for n, d in ((40, 0), (41, 1), (42, 2)))
+        self.unknown = kinds.index(UNKNOWN) if UNKNOWN in kinds else self.unknown
+        user = [p for p, _, k in pieces if k == USER]
+        self.normaliser = Normaliser(normal[2], bool(normal[3]), bool(normal[4]), bool(normal[5]), bool(trainer.get(24, 0)), tuple(user))
+        self.score = {p: s for p, s, k in pieces if k in (NORMAL, USER, UNUSED)}
+        self.number = {p: i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER, UNUSED)}
+        self.unused = {p for p, _, k in pieces if k == UNUSED}
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE} if trainer.get(35, 0) else {}
+        self.width = np.array([0 if k == CONTROL else 1 if k == BYTE else len(p.encode()) for p, _, k in pieces], np.int64)
+        strip = normal[3] or normal[4]
+        self.strips, self.strips_all = bool(strip), bool(normal[4])
+        blank = trainer[44] if 44 in trainer else " \u2047 ".encode()
+        self.surface = [
+            b"" if k == CONTROL else blank if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace("▁", " ").encode() for p, _, k in pieces]
+        self.kinds = kinds
+        mark = SPACE_MARK.decode()
+        #: Where no piece holds a mark behind another character, a mark always begins a unit, and units can be merged apart.
+        self.by_units = not any(mark in p.lstrip(mark) for p in self.score) and not user
+        self.unit = re.compile(f"{mark}+[^{mark}]*|[^{mark}]+") if self.by_units else None
+        self.user = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user else None
+        self.cache, self.seen = cache, {}
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a stretch of normalised text: adjacent pairs become one, the best score first, of equal scores the leftmost."""
+        if self.user:
+            parts, frozen, at = [], set(), 0
+            for m in self.user.finditer(text):
+                parts += text[at:m.start()]
+                frozen.add(len(parts))
+                parts.append(m[0])
+                at = m.end()
+            parts += text[at:]
+        else:
+            parts, frozen = list(text), ()
+        get = self.score.get
+        if len(parts) <= 40 and not frozen and not self.unused:
+            while len(parts) > 1:
+                best, at = None, 0
+                for i in range(len(parts) - 1):
+                    s = get(parts[i] + parts[i + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, i
+                if best is None:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            return parts
+        before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+        queue, made_of = [], {}
+
+        def offer(i: int, j: int) -> None:
+            if i < 0 or j < 0 or i in frozen or j in frozen:
+                return
+            both = parts[i] + parts[j]
+            s = get(both)
+            if s is not None:
+                heapq.heappush(queue, (-s, i, j, len(both)))
+                if both in self.unused:
+                    made_of[both] = parts[i], parts[j]
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, j, size = heapq.heappop(queue)
+            if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != size:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        out, open_ = [], [p for p in reversed(parts) if p]
+        while open_:  # a merge may end in a piece that is out of use: then it counts as what it was made of
+            p = open_.pop()
+            if p in self.unused and p in made_of:
+                open_ += reversed(made_of[p])
+            else:
+                out.append(p)
+        return out
+
+    def _coded(self, text: str) -> tuple[bytes, bytes]:
+        """Ids and how many normalised bytes each stands for, as little-endian unsigned 32-bit integers."""
+        ids, widths = [], []
+        for p in self.merged(text):
+            i = self.number.get(p)
+            if i is not None:
+                ids.append(i)
+                widths.append(len(p.encode()))
+            elif self.bytes:
+                ids += [self.bytes[b] for b in p.encode()]
+                widths += [1] * len(p.encode())
+            elif ids and ids[-1] == self.unknown:  # unknown characters in a row are one
+                widths[-1] += len(p.encode())
+            else:
+                ids.append(self.unknown)
+                widths.append(len(p.encode()))
+        return np.array(ids, "<u4").tobytes(), np.array(widths, "<u4").tobytes()
+
+    def _ids(self, norm: bytes) -> tuple[np.ndarray, np.ndarray]:
+        text = norm.decode()
+        if not self.by_units:
+            ids, widths = self._coded(text)
+        else:
+            seen, blobs = self.seen, []
+            if len(seen) > self.cache:
+                seen.clear()
+            for unit in self.unit.findall(text):
+                found = seen.get(unit)
+                if found is None:
+                    found = self._coded(unit)
+                    if len(unit) <= 64:
+                        seen[unit] = found
+                blobs.append(found)
+            ids, widths = b"".join([b[0] for b in blobs]), b"".join([b[1] for b in blobs])
+        ids, widths = np.frombuffer(ids, "<u4"), np.frombuffer(widths, "<u4").astype(np.int64)
+        if not self.bytes and self.by_units and len(ids):  # unknown ones may meet between units too
+            new = np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))
+            ids, widths = ids[new], np.add.reduceat(widths, np.flatnonzero(new))
+        return ids, widths
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids with begin and end ids, first source bytes, end source bytes); begin and end ids have empty spans.
 
         Pieces of one source character (bytes of it, or a rule's replacement) share its bytes.
         """
         norm, origin = self.normaliser.normalise(text)
-        width = self.width[ids]
-        if (ids == self.unknown).any():
-            width = width.copy()
-            said = self.model.encode(text, out_type="immutable_proto").pieces
-            width[1:-1] = [len(p.piece.encode()) if p.id == self.unknown else w for p, w in zip(said, width[1:-1], strict=True)]
-        ends = np.cumsum(width)
-        if (ends[-1] if len(ends) else 0) != len(norm):
+        ids, widths = self._ids(norm)
+        ends = np.cumsum(np.concatenate([[0], widths, [0]]))
+        if ends[-1] != len(norm):
             raise ValueError("the pieces don't add up to the normalised text")
-        begin, end = origin[ends - width], origin[ends]
-        return begin, np.where(width > 0, np.maximum(end, begin), begin)
+        ids = np.concatenate([[self.begin], ids, [self.end]]).astype("<u4")
+        widths = np.concatenate([[0], widths, [0]])
+        begin, end = origin[ends - widths], origin[ends]
+        return ids, begin, np.where(widths > 0, np.maximum(end, begin), begin)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids: marks become spaces, the one put before the text goes, bytes that make no character become U+FFFD."""
+        surface, ids = self.surface, ids.tolist()
+        parts = [surface[i] for i in ids]
+        if self.strips:
+            for k, i in enumerate(ids):
+                if self.kinds[i] in (BYTE, UNKNOWN):
+                    break
+                if parts[k]:
+                    if parts[k].startswith(b" "):
+                        parts[k] = parts[k][1:]
+                        if not self.strips_all:
+                            break
+                    if parts[k]:
+                        break
+        return b"".join(parts).decode(errors="each-byte")
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.model.decode([x.tolist() for x in ids], num_threads=1)
+    def round_trip(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
+        """(ids with begin and end ids, first source bytes, end source bytes, decoded text) of every text."""
+        out = []
+        for text in texts:
+            ids, begin, end = self.encode(text)
+            out.append((ids, begin, end, self.decode(ids)))
+        return out
 
 
 @lru_cache(maxsize=2)
 def codec(model_path: str) -> Codec:
-    return Codec(model_path)
+    with open(model_path, "rb") as f:
+        return Codec(f.read())
 
 
 def chunks(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, list[str]]]:
@@ -282,7 +381,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
         c = codec(model_path)
         for batch in batches:
             ids = [np.array(x or [], "i8") for x in batch.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array(c.decode(ids), pa.string())})
+            yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array([c.decode(x) for x in ids], pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
