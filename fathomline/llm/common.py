@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Collection
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +95,24 @@ def only(rows: DataFrame, ids: DataFrame, on: str, keep: bool, most: int = BROAD
     return rows.join(F.broadcast(ids) if few else ids, on, "left_semi" if keep else "left_anti")
 
 
+def word_hashes(words: Collection[str]) -> np.ndarray:
+    """64-bit hashes of words: models know words by them, which takes a small part of what the words themselves would."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def count_matches(pattern: re.Pattern, text: str, long: int = 1 << 20) -> Counter[str]:
+    """How often each match occurs; those of a long text aren't all held at once."""
+    return Counter(pattern.findall(text) if len(text) < long else (m[0] for m in pattern.finditer(text)))
+
+
+def places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash stands among the sorted known ones; -1 for others."""
+    if not len(known):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
+
+
 def held_out(doc_id, buckets: int, rest: int):
     """True for the rows that are never learned from: crc32 of the id's decimal text, modulo ``buckets``."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % buckets == rest, F.lit(False))

@@ -135,7 +135,7 @@ class _WordHashes(dict):
     """Hashes of words, each counted once; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -229,12 +229,50 @@ def prefix_index(found: DataFrame, size: int, bound: Bound, common: tuple[np.nda
     return found.select("_same", "text").mapInArrow(run, "h long, same long, n int, pos int")
 
 
-def meetings(index: DataFrame, bound: Bound, rows_out: int = 100_000) -> DataFrame:
-    """(u, v, nu, nv) for every list that two sets share, unless their sizes or their places in it rule the similarity out."""
+def by_list(index: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` over whole lists of ``index`` (h, same, n, ...), each sorted by n, then same: gets a batch's columns as arrays, yields record batches."""
 
-    def pairs(h, same, n, pos):
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on in the next batch
+            if cut:
+                yield from work(*[c[:cut] for c in now])
+            held = [c[cut:] for c in now]
+        if held is not None:
+            yield from work(*held)
+
+    return index.repartition("h").sortWithinPartitions("h", "n", "same").mapInArrow(run, schema)
+
+
+def shared_lists(index: DataFrame) -> DataFrame:
+    """(h, same, n, pos, lead, lead_n): the lists that two sets share at least, each row with the list's first set."""
+
+    def work(h, same, n, pos):
         keep = np.append(True, (h[1:] != h[:-1]) | (same[1:] != same[:-1]))
-        h, same, n, pos = h[keep], same[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64)
+        h, same, n, pos = h[keep], same[keep], n[keep], pos[keep]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(start, len(h)))
+        lead = np.repeat(start, size)
+        some = np.repeat(size > 1, size)
+        yield pa.record_batch({"h": h[some], "same": same[some], "n": n[some], "pos": pos[some], "lead": same[lead][some], "lead_n": n[lead][some]})
+
+    return by_list(index, work, "h long, same long, n int, pos int, lead long, lead_n int")
+
+
+def meetings(lists: DataFrame, bound: Bound, rows_out: int = 100_000) -> DataFrame:
+    """(u, v, nu, nv) for every list (h, same, n, pos, component) where two sets of different components meet, unless their sizes or their places in it rule the similarity out."""
+
+    def work(h, same, n, pos, component):
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(start, len(h)))
+        mixed = np.repeat(np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start), size)
+        h, same, n, pos, component = h[mixed], same[mixed], n[mixed].astype(np.int64), pos[mixed].astype(np.int64), component[mixed]
         i, d = np.arange(len(h) - 1), 1
         while len(i):
             i = i[i + d < len(h)]
@@ -242,7 +280,7 @@ def meetings(index: DataFrame, bound: Bound, rows_out: int = 100_000) -> DataFra
             on = (h[i] == h[j]) & (bound.q * n[i] >= bound.p * n[j])  # sorted by size within a list: nothing further on passes either
             i, j = i[on], j[on]
             most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-            ok = most >= bound.shared(n[i] + n[j])
+            ok = (component[i] != component[j]) & (most >= bound.shared(n[i] + n[j]))
             x, y = i[ok], j[ok]
             for k in range(0, len(x), rows_out):
                 a, b = x[k:k + rows_out], y[k:k + rows_out]
@@ -251,38 +289,13 @@ def meetings(index: DataFrame, bound: Bound, rows_out: int = 100_000) -> DataFra
                 yield pa.record_batch({"u": same[u], "v": same[v], "nu": n[u].astype(np.int32), "nv": n[v].astype(np.int32)})
             d += 1
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on in the next batch
-            if cut:
-                yield from pairs(*[c[:cut] for c in now])
-            held = [c[cut:] for c in now]
-        if held is not None:
-            yield from pairs(*held)
-
-    return index.repartition("h").sortWithinPartitions("h", "n", "same").mapInArrow(run, "u long, v long, nu int, nv int")
+    return by_list(lists.select("h", "same", "n", "pos", "component"), work, "u long, v long, nu int, nv int")
 
 
-def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: int = 20_000, most: int = 100_000) -> DataFrame:
-    """(u, v): all pairs of different shingle sets of ``found`` (_same, _row, text) whose similarity reaches ``similarity``.
-
-    Similar sets meet in an index of each one's rarest shingles (a prefix filter loses
-    none); pairs that meet too seldom are dropped, the others' sets compared in full.
-    """
-    bound = Bound.of(similarity)
+def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound) -> DataFrame:
+    """The pairs (u, v) of sets of ``found`` (_same, _row, text) whose similarity reaches the bound: their texts' sets are compared in full."""
     p, q = bound.p, bound.q
-    index = prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))
-    rest = lambda n: F.expr(f"-floor(-{p}L * {n} / {q}L) - 1")  # noqa: E731  members behind the prefix
-    need = F.expr(f"-floor(-{p}L * (nu + nv) / {p + q}L)")
-    met = meetings(index, bound).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
-    near = durable(met.where(F.col("c") >= need - F.greatest(rest("nu"), rest("nv"))).select("u", "v"), "meetings")
-    members = near.select(F.col("u").alias("_same")).union(near.select(F.col("v").alias("_same"))).distinct()
+    members = pairs.select(F.col("u").alias("_same")).union(pairs.select(F.col("v").alias("_same"))).distinct()
     rows = found.select("_same", "_row").join(members, "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row")).select("_row")
     texts = durable(only(found.select("_row", "_same", "text"), durable(rows, "met-rows"), "_row", keep=True).select("_same", "text"), "met-texts")
     x = texts.select(F.col("_same").alias("u"), F.col("text").alias("x"))
@@ -301,7 +314,32 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
                     out.append((u, v))
             yield pa.record_batch({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    return near.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: int = 20_000, most: int = 100_000) -> DataFrame:
+    """(u, v): links that connect exactly the shingle sets of ``found`` (_same, _row, text) which pairs of ``similarity`` or more connect.
+
+    Similar sets meet in an index of each one's rarest shingles (a prefix filter loses
+    none). First every set is compared with the first set of its lists that it meets
+    most, which already joins most of each group of near copies and takes one pair a
+    set. Then all pairs that meet and aren't joined yet are taken; those that meet too
+    seldom are dropped, the others compared in full. Pairs within what is joined would
+    add nothing, so a group's pairs aren't made.
+    """
+    bound = Bound.of(similarity)
+    p, q = bound.p, bound.q
+    lists = durable(shared_lists(prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))), "shared-lists")
+    stars = lists.where((F.col("same") != F.col("lead")) & (q * F.col("lead_n") >= p * F.col("n"))).groupBy("same", "lead").agg(F.count(F.lit(1)).alias("c"))
+    best = stars.groupBy("same").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
+    first = durable(alike(found, durable(best.select(F.col("same").alias("u"), F.col("lead").alias("v")), "stars"), size, bound), "star-links")
+    joined = components(first).select(F.col("node").alias("same"), "component")
+    marked = lists.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same"))
+    rest = lambda n: F.expr(f"-floor(-{p}L * {n} / {q}L) - 1")  # noqa: E731  members behind the prefix
+    need = F.expr(f"-floor(-{p}L * (nu + nv) / {p + q}L)")
+    met = meetings(marked, bound).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
+    near = durable(met.where(F.col("c") >= need - F.greatest(rest("nu"), rest("nv"))).select("u", "v"), "meetings")
+    return first.union(alike(found, near, size, bound))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

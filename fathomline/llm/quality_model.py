@@ -11,16 +11,15 @@ didn't see, calibrates the probability.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import by_name, fields_of, fresh, held_out, labelled_sample, small_batches
+from fathomline.llm.common import by_name, count_matches, fields_of, fresh, held_out, labelled_sample, places, small_batches, word_hashes
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words by what they are made of; a document's shares of them are among its figures.
@@ -38,11 +37,11 @@ def kind(word: str) -> int:
     return 6 if len(word) == 1 else 7
 
 
-def index_vectors(words: list[str], dims: int, nonzero: int = 6) -> np.ndarray:
-    """A row for each word with ``nonzero`` entries of +1 or -1 (fewer where two fall together) at places drawn from its hash."""
-    z = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out = np.zeros((len(words), dims), np.float32)
-    rows = np.arange(len(words))
+def index_vectors(hashes: np.ndarray, dims: int, nonzero: int = 6) -> np.ndarray:
+    """A row for each word's hash with ``nonzero`` entries of +1 or -1 (fewer where two fall together) at places drawn from it."""
+    z = hashes.copy()
+    out = np.zeros((len(z), dims), np.float32)
+    rows = np.arange(len(z))
     for _ in range(nonzero):
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
         out[rows, ((z >> np.uint64(33)) % np.uint64(dims)).astype(np.int64)] += np.where(z >> np.uint64(20) & np.uint64(1), 1, -1)
@@ -55,43 +54,49 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 @dataclass
 class WordVectors:
-    rows: dict[str, int]
+    """Context words by their sorted hashes, with a vector each."""
+
+    known: np.ndarray
     matrix: np.ndarray
 
     @classmethod
     def fit(cls, texts: list[str], dims: int, window: int = 2) -> WordVectors:
-        tokens = [TOKEN.findall(t) for t in texts]
-        counts = Counter(w for t in tokens for w in t)
-        number = {w: i for i, w in enumerate(sorted(counts))}
-        index = index_vectors(list(number), dims)
-        ids = np.array([i for t in tokens for i in [*(number[w] for w in t), *[-1] * window]], np.int64)
+        number: dict[str, int] = {}
+        ids = array("i")
+        for t in texts:
+            ids.extend(number.setdefault(w, len(number)) for w in TOKEN.findall(t))
+            ids.extend([-1] * window)  # texts are no neighbours
+        ids = np.array(ids, np.int32)
         real = ids >= 0
-        context = np.zeros_like(index)
+        hashes = word_hashes(number)
+        index = index_vectors(hashes, dims)
+        kept = np.flatnonzero(np.bincount(ids[real], minlength=len(number)) > 1)  # one occurrence says little of a word's neighbours
+        context = np.zeros((len(kept), dims), np.float32)
         for j in range(dims):
-            x = np.where(real, index[ids, j], 0)
-            near = np.zeros(len(x))
+            x = np.where(real, index[ids, j], 0).astype(np.float32)
+            near = np.zeros(len(x), np.float32)
             for k in range(1, window + 1):
                 near[k:] += x[:-k]
                 near[:-k] += x[k:]
-            context[:, j] = np.bincount(ids[real], near[real], len(index))
-        kept = [w for w in number if counts[w] > 1]  # one occurrence says little of a word's neighbours
-        at = [number[w] for w in kept]
-        return cls({w: i for i, w in enumerate(kept)}, unit(unit(index[at]) + unit(context[at])).astype(np.float32))
+            context[:, j] = np.bincount(ids[real], near[real], len(index))[kept]
+        order = np.argsort(hashes[kept])
+        return cls(hashes[kept][order], unit(unit(index[kept]) + unit(context))[order].astype(np.float32))
 
     def pooled(self, text: str) -> np.ndarray:
         """The mean word vector, then its length, log(1 + words), the shares of distinct words and of marks, the largest word's share and each kind's share."""
-        counts = Counter(TOKEN.findall(text))
+        counts = count_matches(TOKEN, text)
         dims = self.matrix.shape[1]
         out = np.zeros(dims + FIGURES, np.float32)
         if not counts:
             return out
-        get = self.rows.get
-        ids = np.array([get(w, -1) for w in counts])
+        hashes = word_hashes(counts)
+        ids = places(self.known, hashes)
         n = np.fromiter(counts.values(), np.float32, len(counts))
         total, known = n.sum(), ids >= 0
         mean = n[known] @ self.matrix[ids[known]]
-        if not known.all():
-            mean = mean + n[~known] @ unit(index_vectors([w for w, i in zip(counts, ids, strict=True) if i < 0], dims))
+        new, times = hashes[~known], n[~known]
+        for at in range(0, len(new), 8192):  # a long text may hold any number of words
+            mean = mean + times[at:at + 8192] @ unit(index_vectors(new[at:at + 8192], dims))
         mean = mean / total
         kinds = np.bincount([kind(w) for w in counts], n, len(KINDS)) / total
         out[:dims] = mean

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import by_name, fields_of, fresh, held_out, labelled_sample, small_batches
+from fathomline.llm.common import by_name, count_matches, fields_of, fresh, held_out, labelled_sample, places, small_batches, word_hashes
 
 WORD = re.compile(r"\w+")
 Vector = tuple[np.ndarray, np.ndarray]
 
 
 def words_of(text: str) -> Counter[str]:
-    return Counter(WORD.findall(text.lower()))
+    return count_matches(WORD, text.lower())
 
 
 def relevance(present: list[np.ndarray], labels: np.ndarray, terms: int, floor: float = 0.02, sure: float = 3.84) -> np.ndarray:
@@ -44,55 +44,85 @@ def relevance(present: list[np.ndarray], labels: np.ndarray, terms: int, floor:
 
 
 class BlockMaxIndex:
-    """Exact cosine neighbours among examples of sparse unit vectors: (term numbers, weights), each term once."""
+    """Exact cosine neighbours among examples of sparse unit vectors: (term numbers, weights), each term once.
 
-    def __init__(self, vectors: list[Vector], terms: int, block: int = 32):
+    Examples lie in blocks, ones with the same weightiest term side by side. Every term
+    has its largest weight in each block. Terms of many examples ("wide" ones) are kept
+    as rows of matrices, over blocks and over examples, so that a batch of queries is
+    bounded and scored by products; the others as lists.
+    """
+
+    def __init__(self, vectors: list[Vector], terms: int, block: int = 32, wide_share: float = 1 / 16):
+        none = np.zeros(0, np.int64)
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        #: Examples by place; ones with the same weightiest term lie side by side.
         self.order = np.array(sorted((i for i in range(len(vectors)) if lead[i] >= 0), key=lambda i: (lead[i], i)), np.int64)
-        none = np.zeros(0, np.int64)
+        n = len(self.order)
         term = np.concatenate([none, *[vectors[i][0] for i in self.order]])
-        place = np.repeat(np.arange(len(self.order)), [len(vectors[i][0]) for i in self.order])
+        place = np.repeat(np.arange(n), [len(vectors[i][0]) for i in self.order])
         weight = np.concatenate([np.zeros(0), *[vectors[i][1] for i in self.order]])
         by_term = np.lexsort((place, term))
-        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
+        term, place, weight = term[by_term], place[by_term], weight[by_term]
+        self.edges = np.append(np.arange(0, n, block), n)
+        size = np.bincount(term, minlength=terms)
+        #: The row of each wide term; -1 for the others.
+        self.row = np.where(size > wide_share * n, np.cumsum(size > wide_share * n) - 1, -1).astype(np.int32)
+        wide = self.row[term] >= 0
+        self.by_place = np.zeros((int(self.row.max(initial=-1)) + 1, n))
+        self.by_place[self.row[term[wide]], place[wide]] = weight[wide]
+        self.by_block = np.maximum.reduceat(self.by_place, self.edges[:-1], axis=1) if n else np.zeros((0, 0))
+        term, self.place, self.weight = term[~wide], place[~wide].astype(np.int32), weight[~wide]
         of = self.place // block
-        self.blocks = -(-len(self.order) // block)
         start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))) if len(term) else none
-        self.start = np.append(start, len(term))
-        self.block = of[start]
+        #: Of the other terms: where their postings begin, and their (block, largest weight) entries.
+        self.first = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
+        self.block = of[start].astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.first = np.searchsorted(term[start], np.arange(terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties to the smaller example."""
-        n = self.first[terms + 1] - self.first[terms] if len(terms) else np.zeros(0, np.int64)
-        if not n.sum():
-            return np.zeros(0, np.int64), np.zeros(0)
-        entries = np.repeat(self.first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        weights = np.repeat(weights, n)
-        block = self.block[entries]
-        bounds = np.bincount(block, weights * self.most[entries], self.blocks)
-
-        def scores(chosen: np.ndarray) -> np.ndarray:
-            on = chosen[block]
-            e = entries[on]
-            size = self.start[e + 1] - self.start[e]
-            at = np.repeat(self.start[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            return np.bincount(self.place[at], np.repeat(weights[on], size) * self.weight[at], len(self.order))
-
-        first = np.zeros(self.blocks, bool)
-        first[np.argpartition(-bounds, few - 1)[:few] if self.blocks > few else slice(None)] = True
-        cos = scores(first)
-        kth = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
-        rest = ~first & (bounds > 0) & (bounds >= kth - 1e-9)
-        if rest.any():
-            cos = cos + scores(rest)
-            kth = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
-        some = np.flatnonzero((cos > 0) & (cos >= kth))
-        ids = self.order[some]
-        best = np.lexsort((ids, -cos[some]))[:k]
-        return ids[best], cos[some][best]
+        self.first_entry = np.searchsorted(term[start], np.arange(terms + 1)).astype(np.int32)
+
+    @staticmethod
+    def _spread(first: np.ndarray, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, to: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """Sums of weight times value by (query, ``to``) over the lists of the queries' terms."""
+        n = (first[terms + 1] - first[terms]).astype(np.int64)
+        at = np.repeat(first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(np.repeat(query, n) * shape[1] + to[at], np.repeat(weights, n) * values[at], shape[0] * shape[1]).reshape(shape)
+
+    def nearest_many(self, queries: list[Vector], k: int, few: int = 4) -> list[Vector]:
+        """For each query (examples, cosines) of the k nearest with a cosine above 0, nearest first, ties to the smaller example."""
+        m, n, blocks = len(queries), len(self.order), len(self.edges) - 1
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not n or not m:
+            return [none] * m
+        query = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        row = self.row[terms]
+        wide = np.zeros((m, len(self.by_place)))
+        wide[query[row >= 0], row[row >= 0]] = weights[row >= 0]
+        rest = (query[row < 0], terms[row < 0], weights[row < 0])
+        bounds = wide @ self.by_block + self._spread(self.first_entry, *rest, self.block, self.most, (m, blocks))
+        listed = self._spread(self.first, *rest, self.place, self.weight, (m, n))
+        cos = np.full((m, n), -1.0)
+
+        def score(visit: np.ndarray) -> None:
+            for b in np.flatnonzero(visit.any(0)).tolist():
+                q, to = np.flatnonzero(visit[:, b]), slice(self.edges[b], self.edges[b + 1])
+                cos[q, to] = wide[q] @ self.by_place[:, to] + listed[q, to]
+
+        def kth() -> np.ndarray:
+            return np.partition(cos, n - k, axis=1)[:, n - k] if n > k else np.zeros(m)
+
+        ahead = bounds >= np.partition(bounds, max(blocks - few, 0), axis=1)[:, [max(blocks - few, 0)]]
+        score(ahead & (bounds > 0))
+        score(~ahead & (bounds > 0) & (bounds >= kth()[:, None] - 1e-9))
+        least, out = kth(), []
+        for i in range(m):
+            some = np.flatnonzero((cos[i] > 0) & (cos[i] >= least[i]))
+            ids = self.order[some]
+            best = np.lexsort((ids, -cos[i, some]))[:k]
+            out.append((ids[best], cos[i, some][best]))
+        return out
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> Vector:
+        return self.nearest_many([(terms, weights)], k)[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +146,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicityModel:
-    terms: dict[str, int]
+    """``terms`` are the words' sorted hashes."""
+
+    terms: np.ndarray
     idf: np.ndarray
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     examples: list[int] = field(default_factory=list)
@@ -128,9 +160,10 @@ class ToxicityModel:
 
     def counts(self, text: str) -> Vector:
         """The numbers of the text's known words and how often each occurs."""
-        get = self.terms.get
-        found = [(t, n) for w, n in words_of(text).items() if (t := get(w)) is not None]
-        return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], float)
+        found = words_of(text)
+        at = places(self.terms, word_hashes(found))
+        n = np.fromiter(found.values(), float, len(found))
+        return at[at >= 0], n[at >= 0]
 
     def vector(self, counts: Vector, weight: np.ndarray) -> Vector:
         t, n = counts
@@ -143,10 +176,14 @@ class ToxicityModel:
         w = 1 / (0.1 + np.sqrt(np.maximum(0, 2 - 2 * cos)))
         return float((w @ self.labels[ids] + prior_weight * self.prior) / (w.sum() + prior_weight))
 
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, cos = self.index.nearest(*self.vector(self.counts(text), self.weight), self.k) if self.index else (np.zeros(0, np.int64), np.zeros(0))
-        vote = self.vote(ids, cos)
-        return float(np.interp(vote, *self.curve)) if self.curve else vote, ids, cos
+    def scores(self, texts: list[str], batch: int = 128) -> tuple[np.ndarray, list[Vector]]:
+        """The texts' scores and nearest examples."""
+        near: list[Vector] = []
+        for at in range(0, len(texts), batch):
+            part = [self.vector(self.counts(t), self.weight) for t in texts[at:at + batch]]
+            near += self.index.nearest_many(part, self.k) if self.index else [(np.zeros(0, np.int64), np.zeros(0))] * len(part)
+        votes = np.array([self.vote(*x) for x in near])
+        return np.interp(votes, *self.curve) if self.curve else votes, near
 
     def finish(self, rows: list, folds: int = 2) -> None:
         """Weighs the terms, indexes the examples and fits the curve on each fold's votes under relevances of the other folds."""
@@ -163,18 +200,19 @@ class ToxicityModel:
         for f in range(folds if len(rows) else 0):
             _, vectors = weigh(np.flatnonzero(fold != f))
             index = BlockMaxIndex(vectors, len(self.idf))
-            for i in np.flatnonzero(fold == f).tolist():
-                ids, cos = index.nearest(*vectors[i], self.k + 1)
-                other = ids != i
-                votes[i] = self.vote(ids[other][:self.k], cos[other][:self.k])
+            for at in range(f, len(rows), 128 * folds):
+                own = range(at, min(at + 128 * folds, len(rows)), folds)
+                for i, (ids, cos) in zip(own, index.nearest_many([vectors[i] for i in own], self.k + 1), strict=True):
+                    other = ids != i
+                    votes[i] = self.vote(ids[other][:self.k], cos[other][:self.k])
         self.weight, vectors = weigh(np.arange(len(rows)))
         self.index = BlockMaxIndex(vectors, len(self.idf))
         if rows:
             self.curve = isotonic(votes, self.labels)
 
 
-def document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
-    """The number of documents, and in how many of them each term occurs: whole texts, all rows.
+def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of documents, and in how many of them each term (sorted hashes) occurs: whole texts, all rows.
 
     Each task sends one count a term, so what is shuffled and what reaches the driver
     are bounded by the examples' words.
@@ -183,14 +221,15 @@ def document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.nda
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        get, rows = shared.value.get, 0
-        counts: Counter[int] = Counter()
+        terms, rows = shared.value, 0
+        counts = np.zeros(len(terms), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 rows += 1
-                counts.update(t for w in set(WORD.findall(text.lower())) if (t := get(w)) is not None)
-        counts[-1] = rows
-        yield pa.record_batch({"term": pa.array(list(counts), pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
+                at = places(terms, word_hashes(words_of(text)))
+                counts[at[at >= 0]] += 1  # a document's terms differ
+        some = np.flatnonzero(counts)
+        yield pa.record_batch({"term": pa.array(np.append(some, -1).astype("i4")), "n": pa.array(np.append(counts[some], rows))})
 
     found = (
         docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term int, n long")
@@ -207,8 +246,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, k: in
     Without a labelled row every score is 0; where no example is toxic it is 0 too.
     """
     rows = labelled_sample(docs, labels, "toxic", held_out(F.col("doc_id"), 4, 2), max_rows)
-    terms = {w: i for i, w in enumerate(sorted({w for _, text, _ in rows for w in words_of(text)}))}
-    n, found = document_counts(docs, terms) if terms else (0, np.zeros(0))
+    terms = np.sort(word_hashes({w for _, text, _ in rows for w in words_of(text)}))
+    n, found = document_counts(docs, terms) if len(terms) else (0, np.zeros(0))
     model = ToxicityModel(terms, np.log((1 + n) / (1 + found)) + 1, k=k)
     model.finish(rows)
     return model
@@ -234,9 +273,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
     def run(batches):
         m = shared.value
         for batch in batches:
-            found = [m.score(t) for t in batch.column(at).to_pylist()]
-            s = np.array([f[0] for f in found])
-            said = [[{"doc_id": m.examples[i], "cosine": float(c), "toxic": int(m.labels[i])} for i, c in zip(ids[:evidence], cos, strict=False)] for _, ids, cos in found]
+            s, near = m.scores(batch.column(at).to_pylist())
+            said = [[{"doc_id": m.examples[i], "cosine": float(c), "toxic": int(m.labels[i])} for i, c in zip(ids[:evidence], cos, strict=False)] for ids, cos in near]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at], pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32()), pa.array(said, kind)], [*columns, *names])
 
