@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the keys come back once, before the other columns."""
+    r = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    hit = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    if how in ("left_semi", "left_anti"):
+        return left.join(r, hit, how)
+    found = left.join(r, hit, how)
+    keys = [F.coalesce(c, f"_right_{c}").alias(c) if how in ("full", "right") else F.col(c) for c in on]
+    return found.select(*keys, *[F.col(c) for c in found.columns if c not in on and c not in [f"_right_{k}" for k in on]])
+
+
 def asof_before(left: DataFrame, right: DataFrame, by: list[str], time: str, tie: str, value: str, out: str = "value_before") -> DataFrame:
     """For each left row the right value latest strictly before its time, else the key's first; null for unknown keys.
 
@@ -31,6 +45,13 @@ def tolerance_join(left: DataFrame, right: DataFrame, by: list[str], left_day: s
     return left.withColumn("_day", F.to_date(left_day)).join(tried, [*by, "_day"]).withColumn("day_step", F.col("_turn.step")).withColumn("turn", F.col("_turn.turn")).drop("_day", "_turn")
 
 
+def oriented(df: DataFrame, home: str, away: str, swap: dict[str, str]) -> DataFrame:
+    """Every row as it is and with the two names changed over, its values under each other's names (``swap``: a column and its mirror); ``flipped`` tells which."""
+    mirror = swap | {b: a for a, b in swap.items()}
+    turned = df.select(*[F.col(away if c == home else home if c == away else mirror.get(c, c)).alias(c) for c in df.columns], F.lit(True).alias("flipped"))
+    return df.withColumn("flipped", F.lit(False)).unionByName(turned)
+
+
 def pair_key(a: str, b: str) -> tuple[Column, Column]:
     """The two names in one order, so that either orientation meets."""
     return F.least(a, b), F.greatest(a, b)
@@ -55,7 +76,50 @@ def upsert(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return both.select(*on, *[F.coalesce(F.col("_n"), F.col("_o"))[c].alias(c) for c in rest], change.alias("change"))
 
 
-def strategy_grid(bets: DataFrame, bands: DataFrame, inside: Column, measures: list[Column], on: list[str]) -> DataFrame:
-    """Aggregates of the bets inside every band; bands without any are kept. ``bands`` is a small literal table."""
-    kept = bets.join(F.broadcast(bands), inside).groupBy(*on).agg(*measures)
-    return bands.join(kept, on, "left")
+def upsert_kept(old: DataFrame, new: DataFrame, on: list[str], preserved: list[str], inserted: dict[str, Column], computed: dict[str, Column]) -> DataFrame:
+    """Upsert of signals into a tracker with the columns of ``old``.
+
+    Known keys take all columns of ``new`` but the ``preserved`` ones; unknown keys
+    start with ``inserted`` and nulls for columns that ``new`` lacks. ``computed`` are
+    Columns over ``_o`` and ``_n`` (the old and new rows, null where there is none) and
+    take precedence. Each key occurs once on either side.
+    """
+    rest = [c for c in old.columns if c not in on]
+    o = old.select(*on, F.struct(*rest).alias("_o"))
+    n = new.select(*on, F.struct(*[F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in rest]).alias("_n"))
+    both = o.join(n, on, "full")
+
+    def value(c: str) -> Column:
+        known, first = F.col("_o")[c], inserted.get(c, F.col("_n")[c])
+        if c in computed:
+            return computed[c]
+        updated = known if c in preserved or c not in new.columns else F.col("_n")[c]
+        return F.when(F.col("_o").isNull(), first).when(F.col("_n").isNull(), known).otherwise(updated)
+
+    return both.select(*on, *[value(c).cast(old.schema[c].dataType).alias(c) for c in rest])
+
+
+def strategy_grid(bets: DataFrame, bands: list[tuple], names: list[str], limits: dict[str, list[tuple[float, float]]], sums: dict[str, Column], upper_open: bool = False) -> DataFrame:
+    """Sums over the bets inside every band; bands without any are kept, with nulls.
+
+    ``bands`` are the names' values, ``limits`` a (low, high) for each band and column,
+    both ends inside unless ``upper_open``. The limits cut each axis into points and the
+    intervals between them; bets are summed by cell first, so what meets the bands is one
+    row for each cell and no bet is compared with a band.
+    """
+    spark = bets.sparkSession
+    edges = {c: sorted({e for pair in pairs for e in pair}) for c, pairs in limits.items()}
+
+    def place(c: str) -> Column:
+        """Twice the edges below, and one more on an edge."""
+        below = sum((F.when(F.col(c) > e, 2).otherwise(0) for e in edges[c]), F.lit(0))
+        return below + F.when(F.col(c).isin(edges[c]), 1).otherwise(0)
+
+    cells = bets.where(" AND ".join(f"`{c}` IS NOT NULL" for c in limits)).groupBy(*[place(c).alias(f"at_{c}") for c in limits]).agg(
+        *[F.sum(v).alias(n) for n, v in sums.items()])
+    at = lambda c, e: 2 * bisect_left(edges[c], e) + 1
+    rows = [(*b, *[x for c, pairs in limits.items() for x in (at(c, pairs[i][0]), at(c, pairs[i][1]) - upper_open)]) for i, b in enumerate(bands)]
+    grid = spark.createDataFrame(rows, [*names, *[x for c in limits for x in (f"lo_{c}", f"hi_{c}")]])
+    inside = reduce(lambda a, b: a & b, [F.col(f"at_{c}").between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in limits])
+    kept = cells.join(F.broadcast(grid), inside).groupBy(*names).agg(*[F.sum(n).alias(n) for n in sums])
+    return grid.select(*names).join(kept, names, "left")

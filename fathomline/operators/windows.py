@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,29 +29,24 @@ def days_since_last(df: DataFrame, by: list[str], day: str, tie: str, out: str =
 
 
 def last_n_before(df: DataFrame, by: list[str], day: str, tie: str, value: str, n: int = 10) -> DataFrame:
-    """Mean and number of the key's last ``n`` values of strictly earlier days.
+    """Mean and number of the key's last ``n`` rows' values of strictly earlier days; null keys are a key too.
 
-    Rows of one day must not see each other: a row takes the last ``n`` rows before it,
-    counted from the first of its own day.
+    Rows of one day must not see each other: all of them take the frame of the day's first row.
     """
-    w = W.partitionBy(*by).orderBy(day, tie)
-    ranked = df.withColumn("_i", F.row_number().over(w))
-    days = ranked.groupBy(*by, day).agg(F.min("_i").alias("_first"))
-    sums = ranked.withColumn("_s", F.sum(value).over(w.rowsBetween(-(n - 1), 0))).withColumn("_c", F.count(value).over(w.rowsBetween(-(n - 1), 0)))
-    history = sums.select(*by, (F.col("_i") + 1).alias("_first"), "_s", "_c")
+    before = W.partitionBy(*by).orderBy(day, tie).rowsBetween(-n, -1)
+    first = W.partitionBy(*by, day).orderBy(tie).rowsBetween(W.unboundedPreceding, 0)
+    sums = df.withColumn("_s", F.sum(value).over(before)).withColumn("_c", F.count(value).over(before))
     return (
-        ranked.join(days, [*by, day]).join(history, [*by, "_first"], "left")
-        .withColumn("form_n", F.coalesce("_c", F.lit(0))).withColumn("form_mean", F.when(F.col("_c") > 0, F.col("_s") / F.col("_c")))
-        .drop("_i", "_first", "_s", "_c")
+        sums.withColumn("_s", F.first("_s").over(first)).withColumn("form_n", F.first("_c").over(first))
+        .withColumn("form_mean", F.when(F.col("form_n") > 0, F.col("_s") / F.col("form_n"))).drop("_s", "_c")
     )
 
 
-def prefix_mean_before(df: DataFrame, by: list[str], day: str, value: str, fallback: float) -> DataFrame:
-    """Mean of all values of strictly earlier days, else ``fallback``; days are summed first, so the window holds days."""
-    daily = df.groupBy(*by, day).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    before = W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
-    past = daily.select(*by, day, (F.sum("_s").over(before) / F.sum("_c").over(before)).alias("_m"))
-    return df.join(past, [*by, day]).withColumn("past_mean", F.coalesce("_m", F.lit(fallback))).drop("_m")
+def prefix_mean_before(df: DataFrame, by: list[str], day: str, value: str, fallback: float | Column) -> DataFrame:
+    """Mean of all values of strictly earlier days, else ``fallback`` (a number, or a Column such as a cascade of coalesce); null keys are a key too."""
+    w = W.partitionBy(*by).orderBy(F.datediff(day, F.lit("1970-01-01").cast("date"))).rangeBetween(W.unboundedPreceding, -1)
+    past = F.try_divide(F.sum(value).over(w), F.count(value).over(w))
+    return df.withColumn("past_mean", F.coalesce(past, fallback if isinstance(fallback, Column) else F.lit(fallback)))
 
 
 def streak(df: DataFrame, by: list[str], order: list[str], won: Column) -> DataFrame:
@@ -69,10 +65,22 @@ def drawdown(df: DataFrame, by: list[str], order: list[str], profit: str) -> Dat
     return run.groupBy(*by).agg(F.sum(profit).alias("total"), F.max("_p").alias("peak"), F.min(F.col("_b") - F.col("_p")).alias("max_drawdown"))
 
 
-def rescale_to(df: DataFrame, by: list[str], value: str, total: float, most: float) -> DataFrame:
-    """Values scaled so that each group sums to ``total``, none above ``most``."""
-    s = F.sum(value).over(W.partitionBy(*by))
-    return df.withColumn("rescaled", F.when(s > 0, F.least(F.col(value) * total / s, F.lit(most))))
+def rescale_to(df: DataFrame, by: list[str], value: str, total: float, most: float, least: float = 0.0, passes: int = 1) -> DataFrame:
+    """Values scaled so that each group sums to ``total`` and cut to ``least`` and ``most``; what cutting took is scaled in again with every further pass."""
+    w = W.partitionBy(*by)
+    out = df.withColumn("rescaled", F.col(value))
+    for _ in range(passes):
+        s = F.sum("rescaled").over(w)
+        out = out.withColumn("rescaled", F.when(s > 0, F.least(F.greatest(F.col("rescaled") * total / s, F.lit(least)), F.lit(most))))
+    return out
+
+
+def fill_to(df: DataFrame, by: list[str], value: str, fixed: Column, total: float) -> DataFrame:
+    """``filled``: rows that aren't ``fixed`` scaled so that each group sums to ``total``; where the fixed ones alone reach it, all rows are."""
+    w = W.partitionBy(*by)
+    v, is_fixed = F.col(value), F.coalesce(fixed, F.lit(False))
+    held, free, both = (F.coalesce(F.sum(x).over(w), F.lit(0.0)) for x in (F.when(is_fixed, v), F.when(~is_fixed, v), v))
+    return df.withColumn("filled", F.when(held >= total, F.when(both > 0, v * total / both).otherwise(v)).when(~is_fixed & (free > 0), v * (total - held) / free).otherwise(v))
 
 
 def number_repeats(df: DataFrame, name: str, tie: str, out: str = "unique_name") -> DataFrame:
@@ -81,23 +89,51 @@ def number_repeats(df: DataFrame, name: str, tie: str, out: str = "unique_name")
     return df.withColumn("_n", n).withColumn(out, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(name, F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))).drop("_n")
 
 
-def elo_fold(games: DataFrame, pool: str, k: float = 20.0, start: float = 1500.0, width: float = 400.0) -> DataFrame:
-    """Ratings before each game of (pool, seq, home, away, score): a fold over time, so one task for each independent pool.
+def quote_flags(df: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:
+    """``is_opening`` and ``is_closing``: each key's first and last quote by time, of equal times the first by ``tie`` in both; quotes without a time are neither."""
+    has = F.col(time).isNotNull()
+    w = W.partitionBy(*by, has)
+    first = F.row_number().over(w.orderBy(F.col(time).asc(), tie)) == 1
+    last = F.row_number().over(w.orderBy(F.col(time).desc(), tie)) == 1
+    return df.withColumn("is_opening", has & first).withColumn("is_closing", has & last)
+
+
+def rating_fold(games: DataFrame, pool: str, start: float = 1500.0, advantage: float = 100.0, width: float = 400.0) -> DataFrame:
+    """Both sides' ratings before and after each game: a fold over time in every pool of players who meet only each other.
 
-    ``score`` is the home side's result (1, 0.5, 0). Pools share no players; a game
-    changes both ratings at once.
+    ``games``: the pool, seq (the order), home, away, score (the home side's result: 1,
+    0.5, 0), weight (K times the margin's factor), neutral (null counts as neutral) and
+    home_start, away_start (null: ``start``), of which a player's first one counts. A
+    pool is sorted by Spark and folded as its rows stream by; only its players' ratings
+    are held, so pools may be long, but each is one task's work.
     """
     kind = games.schema[pool].dataType.simpleString()
-    out = f"{pool} {kind}, seq long, home string, away string, home_before double, away_before double, home_after double"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating: dict[str, float] = {}
-        rows = []
-        for g in pdf.sort_values("seq").itertuples(index=False):
-            h, a = rating.get(g.home, start), rating.get(g.away, start)
-            change = k * (g.score - 1 / (1 + 10 ** ((a - h) / width)))
-            rating[g.home], rating[g.away] = h + change, a - change
-            rows.append((getattr(g, pool), g.seq, g.home, g.away, h, a, h + change))
-        return pd.DataFrame(rows, columns=[pool, "seq", "home", "away", "home_before", "away_before", "home_after"])
-
-    return games.groupBy(pool).applyInPandas(fold, out)
+    columns = [pool, "seq", "home", "away", "score", "weight", "neutral", "home_start", "away_start"]
+    out = [pool, "seq", "home", "away", "home_before", "away_before", "home_after", "away_after"]
+
+    def run(batches):
+        now, rating = object(), {}
+        for batch in batches:
+            found = []
+            for p, _, home, away, score, weight, neutral, home_start, away_start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if p != now:
+                    now, rating = p, {}
+                h = rating.setdefault(home, start if home_start is None else home_start)
+                a = rating.setdefault(away, start if away_start is None else away_start)
+                edge = 0.0 if neutral is None or neutral else advantage
+                change = weight * (score - 1 / (1 + 10 ** ((a - h - edge) / width)))
+                rating[home], rating[away] = h + change, a - change
+                found.append((h, a, h + change, a - change))
+            ratings = np.array(found).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(ratings[:, k]) for k in range(4)]], out)
+
+    named = games.select(F.col(pool), F.col("seq").cast("long").alias("seq"), *[F.col(c).cast(t).alias(c) for c, t in (
+        ("home", "string"), ("away", "string"), ("score", "double"), ("weight", "double"), ("neutral", "boolean"), ("home_start", "double"), ("away_start", "double"))])
+    return named.select(*columns).repartition(pool).sortWithinPartitions(pool, "seq").mapInArrow(
+        run, f"`{pool}` {kind}, seq long, home string, away string, home_before double, away_before double, home_after double, away_after double")
+
+
+def snapshots(folded: DataFrame, pool: str) -> DataFrame:
+    """(pool, seq, team, rating): both sides' ratings after each game."""
+    return folded.select(pool, "seq", F.inline(F.array(
+        F.struct(F.col("home").alias("team"), F.col("home_after").alias("rating")), F.struct(F.col("away").alias("team"), F.col("away_after").alias("rating")))))

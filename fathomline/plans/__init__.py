@@ -1,0 +1,5 @@
+"""All queries: importing this package registers them."""
+
+from fathomline.plans import bets, feeds, games, models, names, queries, registry
+
+__all__ = ["bets", "feeds", "games", "models", "names", "queries", "registry"]

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -18,5 +19,6 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     yield session
     session.stop()

@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fathomline.plans.queries import ORACLE_SQL, QUERIES
+import fathomline.plans  # noqa: F401  (fills the registry)
+from fathomline.plans.registry import ORACLE_SQL, QUERIES
+
 
 DATA = "/root/testdata/sf0.001"
 
