@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm import ann, licenses, neardup, packing, pieces, pii, quality_model, quality_rules, sharding, toxicity
 from fathomline.llm.common import held_out, table
+from fathomline.llm.oracles import ORACLE_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,6 +65,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_neardup": op2_neardup,
@@ -76,5 +79,3 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}

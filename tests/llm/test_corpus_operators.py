@@ -251,6 +251,20 @@ def slow_measures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def test_quality_rules_match_sql(spark):
+    import duckdb
+
+    from fathomline.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    df = queries.QUERIES["op10_quality_rules"](spark, folder)
+    cursor = db.execute(queries.ORACLE_SQL["op10_quality_rules"])
+    assert [c[0] for c in cursor.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(cursor.fetchall())
+
+
 def test_quality_rules(spark, docs, odd, none):
     for df in (docs, odd):
         texts = {(r.doc_id, r.text): slow_measures(r.text or "") for r in df.collect()}
