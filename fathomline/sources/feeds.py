@@ -180,3 +180,21 @@ def card_rates(df: DataFrame) -> DataFrame:
     return df.where("referee IS NOT NULL AND trim(referee) <> ''").select(
         F.trim("referee").alias("referee"), "tournament", "matches", rate_or_value(F.col("yellow_per_match"), F.col("yellows"), F.col("matches")).alias("yellow_per_match"),
         rate_or_value(F.col("red_per_match"), F.col("reds"), F.col("matches")).alias("red_per_match"))
+
+
+_COUNT = "struct<total:int,on:int,assists:int>"
+SHEET = (
+    f"array<struct<team:{_NAMED},players:array<struct<player:{_NAMED},statistics:array<struct<games:struct<minutes:int>,shots:{_COUNT},goals:{_COUNT},"
+    "passes:struct<key:int>,fouls:struct<committed:int,drawn:int>,cards:struct<yellow:int,red:int>>>>>>>")
+
+
+def player_sheets(feed: DataFrame, match: str, payload: str, source: str = "feed") -> DataFrame:
+    """One row for each team, player and statistics block of a match's sheet (teams > players > statistics)."""
+    teams = feed.select(F.col(match).cast("string").alias("m"), F.explode(F.from_json(payload, SHEET)).alias("t"))
+    players = teams.select("m", F.col("t.team").alias("team"), F.explode("t.players").alias("p"))
+    rows = players.select("m", "team", F.col("p.player").alias("player"), F.explode("p.statistics").alias("s"))
+    return rows.select(
+        source_id(source, "match", F.col("m")).alias("match_id"), source_id(source, "team", F.col("team.id"), F.col("team.name")).alias("team_id"),
+        source_id(source, "player", F.col("player.id"), F.col("player.name")).alias("player_id"), F.col("s.games.minutes").alias("minutes_played"), F.col("s.goals.total").alias("goals"),
+        F.col("s.goals.assists").alias("assists"), F.col("s.shots.total").alias("shots"), F.col("s.shots.on").alias("shots_on_target"), F.col("s.passes.key").alias("key_passes"),
+        F.col("s.fouls.committed").alias("fouls_committed"), F.col("s.fouls.drawn").alias("fouls_won"), F.col("s.cards.yellow").alias("yellow_cards"), F.col("s.cards.red").alias("red_cards"))
