@@ -20,7 +20,8 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import by_name, durable, fields_of, fresh, only, small_batches
@@ -251,28 +252,50 @@ def by_list(index: DataFrame, work, schema: str) -> DataFrame:
 
 
 def shared_lists(index: DataFrame) -> DataFrame:
-    """(h, same, n, pos, lead, lead_n): the lists that two sets share at least, each row with the list's first set."""
+    """(h, same, n, pos, size): the lists that two sets share at least, with their size."""
 
     def work(h, same, n, pos):
         keep = np.append(True, (h[1:] != h[:-1]) | (same[1:] != same[:-1]))
         h, same, n, pos = h[keep], same[keep], n[keep], pos[keep]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(start, len(h)))
-        lead = np.repeat(start, size)
-        some = np.repeat(size > 1, size)
-        yield pa.record_batch({"h": h[some], "same": same[some], "n": n[some], "pos": pos[some], "lead": same[lead][some], "lead_n": n[lead][some]})
+        size = np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)))
+        size = np.repeat(size, size)
+        some = size > 1
+        yield pa.record_batch({"h": h[some], "same": same[some], "n": n[some], "pos": pos[some], "size": size[some]})
+
+    return by_list(index, work, "h long, same long, n int, pos int, size long")
+
+
+def star_pairs(lists: DataFrame, bound: Bound) -> DataFrame:
+    """(u, v): every set u with the lead of its lists that it meets most.
 
-    return by_list(index, work, "h long, same long, n int, pos int, lead long, lead_n int")
+    A list's lead is the set whose rare shingles are shared most often altogether: the
+    text that a group of near copies comes from, if it is there, for a copy's changes
+    are its own.
+    """
+    weight = lists.groupBy("same").agg(F.sum("size").alias("weight"))
+    lead = lists.join(weight, "same").groupBy("h").agg(F.max(F.struct("weight", "same", "n")).alias("l")).select("h", F.col("l.same").alias("lead"), F.col("l.n").alias("lead_n"))
+    p, q = bound.p, bound.q
+    near = lists.join(lead, "h").where((F.col("same") != F.col("lead")) & (q * F.col("lead_n") >= p * F.col("n")) & (q * F.col("n") >= p * F.col("lead_n")))
+    met = near.groupBy("same", "lead").agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy("same").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")).select(F.col("same").alias("u"), F.col("lead").alias("v"))
 
 
-def meetings(lists: DataFrame, bound: Bound, rows_out: int = 100_000) -> DataFrame:
-    """(u, v, nu, nv) for every list (h, same, n, pos, component) where two sets of different components meet, unless their sizes or their places in it rule the similarity out."""
+def meetings(lists: DataFrame, bound: Bound, rows_out: int = 100_000, back: int = 4) -> DataFrame:
+    """(u, v): the pairs of sets of different components that meet in some list of ``lists`` (h, same, n, pos, component) and whose sizes and places there don't rule the similarity out.
 
-    def work(h, same, n, pos, component):
+    A set's rows carry its ``back`` shared shingles before; where two sets have one of
+    those in common they met there already, and the pair isn't made again. The first
+    shingle they share always makes it.
+    """
+    before = W.partitionBy("same").orderBy("pos")
+    rows = lists.select("h", "same", "n", "pos", "component", *[F.coalesce(F.lag("h", k).over(before), "same").alias(f"b{k}") for k in range(1, back + 1)])
+
+    def work(h, same, n, pos, component, *past):
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(start, len(h)))
         mixed = np.repeat(np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start), size)
         h, same, n, pos, component = h[mixed], same[mixed], n[mixed].astype(np.int64), pos[mixed].astype(np.int64), component[mixed]
+        past = [x[mixed] for x in past]
         i, d = np.arange(len(h) - 1), 1
         while len(i):
             i = i[i + d < len(h)]
@@ -282,14 +305,16 @@ def meetings(lists: DataFrame, bound: Bound, rows_out: int = 100_000) -> DataFra
             most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
             ok = (component[i] != component[j]) & (most >= bound.shared(n[i] + n[j]))
             x, y = i[ok], j[ok]
+            for a in past:
+                for b in past:
+                    new = a[x] != b[y]
+                    x, y = x[new], y[new]
             for k in range(0, len(x), rows_out):
-                a, b = x[k:k + rows_out], y[k:k + rows_out]
-                swap = same[a] > same[b]
-                u, v = np.where(swap, b, a), np.where(swap, a, b)
-                yield pa.record_batch({"u": same[u], "v": same[v], "nu": n[u].astype(np.int32), "nv": n[v].astype(np.int32)})
+                a, b = same[x[k:k + rows_out]], same[y[k:k + rows_out]]
+                yield pa.record_batch({"u": np.minimum(a, b), "v": np.maximum(a, b)})
             d += 1
 
-    return by_list(lists.select("h", "same", "n", "pos", "component"), work, "u long, v long, nu int, nv int")
+    return by_list(rows, work, "u long, v long")
 
 
 def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound) -> DataFrame:
@@ -321,24 +346,17 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
     """(u, v): links that connect exactly the shingle sets of ``found`` (_same, _row, text) which pairs of ``similarity`` or more connect.
 
     Similar sets meet in an index of each one's rarest shingles (a prefix filter loses
-    none). First every set is compared with the first set of its lists that it meets
-    most, which already joins most of each group of near copies and takes one pair a
-    set. Then all pairs that meet and aren't joined yet are taken; those that meet too
-    seldom are dropped, the others compared in full. Pairs within what is joined would
-    add nothing, so a group's pairs aren't made.
+    none). First every set is compared with one set it meets often, the likeliest source
+    of its group of near copies, which takes one pair a set and joins most groups. Then
+    all pairs that meet and aren't joined yet are compared in full. Pairs within what is
+    joined would add nothing, so a group's pairs aren't made.
     """
     bound = Bound.of(similarity)
-    p, q = bound.p, bound.q
     lists = durable(shared_lists(prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))), "shared-lists")
-    stars = lists.where((F.col("same") != F.col("lead")) & (q * F.col("lead_n") >= p * F.col("n"))).groupBy("same", "lead").agg(F.count(F.lit(1)).alias("c"))
-    best = stars.groupBy("same").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
-    first = durable(alike(found, durable(best.select(F.col("same").alias("u"), F.col("lead").alias("v")), "stars"), size, bound), "star-links")
+    first = durable(alike(found, durable(star_pairs(lists, bound), "stars"), size, bound), "star-links")
     joined = components(first).select(F.col("node").alias("same"), "component")
     marked = lists.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same"))
-    rest = lambda n: F.expr(f"-floor(-{p}L * {n} / {q}L) - 1")  # noqa: E731  members behind the prefix
-    need = F.expr(f"-floor(-{p}L * (nu + nv) / {p + q}L)")
-    met = meetings(marked, bound).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
-    near = durable(met.where(F.col("c") >= need - F.greatest(rest("nu"), rest("nv"))).select("u", "v"), "meetings")
+    near = durable(meetings(marked, bound).distinct(), "meetings")
     return first.union(alike(found, near, size, bound))
 
 

@@ -6,6 +6,7 @@ import re
 import corpus_pipeline
 import pytest
 from fathomline.llm import neardup
+from pyspark.sql import functions as F
 
 
 def slow_kept(rows, size, p, q):
@@ -71,3 +72,30 @@ def test_stage_drops_copies_ten_bits_apart(spark):
     kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [w[:2] for w in slow_kept(rows, 5, 4, 5)]
     assert 10**6 + 1 not in {r.doc_id for r in kept}
+
+
+def test_pairs_of_a_group_are_not_made(spark):
+    """A text with many near copies: one pair a copy joins them, and no pair among them is made after that."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    base = [rng.choice(words) for _ in range(400)]
+    texts = [" ".join(base)]
+    for _ in range(80):
+        other = list(base)
+        for _ in range(6):
+            other[rng.randrange(400)] = "changed" + str(rng.random())
+        texts.append(" ".join(other))
+    hashes, bound = neardup._WordHashes(), neardup.Bound.of(0.8)
+    sets = [neardup.shingle_set(t, 5, hashes) for t in texts]
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert all(alike(s.tolist(), sets[0].tolist()) >= 0.8 for s in sets) and alike(sets[1].tolist(), sets[2].tolist()) < 0.8
+    found = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_same long, _row long, text string")
+    common = neardup.common_shingles(found, 5, 20_000, 100_000)
+    lists = neardup.durable(neardup.shared_lists(neardup.prefix_index(found, 5, bound, common)), "test")
+    stars = neardup.star_pairs(lists, bound).collect()
+    assert len(stars) <= 80 and {r.v for r in stars} == {0}
+    joined = lists.withColumn("component", F.lit(0).cast("long"))
+    assert neardup.meetings(joined, bound).count() == 0
+    apart = lists.withColumn("component", F.col("same"))
+    made = neardup.meetings(apart, bound)
+    assert made.distinct().count() <= made.count() < 0.2 * lists.agg(F.sum((F.col("size") - 1) / 2)).first()[0]
