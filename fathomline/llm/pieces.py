@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -205,16 +206,18 @@ class Codec:
         else:
             parts, frozen = list(text), ()
         get = self.score.get
-        if len(parts) <= 40 and not frozen and not self.unused:
-            while len(parts) > 1:
-                best, at = None, 0
-                for i in range(len(parts) - 1):
-                    s = get(parts[i] + parts[i + 1])
-                    if s is not None and (best is None or s > best):
-                        best, at = s, i
-                if best is None:
-                    break
-                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) <= 100 and not frozen and not self.unused:
+            none = -float("inf")
+            scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            while scores and (best := max(scores)) > none:
+                i = scores.index(best)
+                both = parts[i] + parts[i + 1]
+                parts[i:i + 2] = [both]
+                del scores[i]
+                if i:
+                    scores[i - 1] = get(parts[i - 1] + both, none)
+                if i < len(scores):
+                    scores[i] = get(both + parts[i + 1], none)
             return parts
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         queue, made_of = [], {}
@@ -251,40 +254,47 @@ class Codec:
         return out
 
     def _coded(self, text: str) -> tuple[bytes, bytes]:
-        """Ids and how many normalised bytes each stands for, as little-endian unsigned 32-bit integers."""
+        """Ids and, where a model has no bytes to fall back on, how many normalised bytes each stands for, as unsigned 32-bit integers."""
+        get = self.number.get
+        if self.bytes:
+            parts = self.merged(text)
+            found = [get(p) for p in parts]
+            if None in found:
+                found = [j for p, i in zip(parts, found, strict=True) for j in ([self.bytes[b] for b in p.encode()] if i is None else (i,))]
+            return array("I", found).tobytes(), b""
         ids, widths = [], []
         for p in self.merged(text):
-            i = self.number.get(p)
+            i = get(p)
             if i is not None:
                 ids.append(i)
                 widths.append(len(p.encode()))
-            elif self.bytes:
-                ids += [self.bytes[b] for b in p.encode()]
-                widths += [1] * len(p.encode())
             elif ids and ids[-1] == self.unknown:  # unknown characters in a row are one
                 widths[-1] += len(p.encode())
             else:
                 ids.append(self.unknown)
                 widths.append(len(p.encode()))
-        return np.array(ids, "<u4").tobytes(), np.array(widths, "<u4").tobytes()
+        return array("I", ids).tobytes(), array("I", widths).tobytes()
+
+    def _kept(self, unit: str) -> tuple[bytes, bytes]:
+        found = self._coded(unit)
+        if len(unit) <= 64:
+            self.seen[unit] = found
+        return found
 
     def _ids(self, norm: bytes) -> tuple[np.ndarray, np.ndarray]:
         text = norm.decode()
         if not self.by_units:
             ids, widths = self._coded(text)
         else:
-            seen, blobs = self.seen, []
+            seen = self.seen
             if len(seen) > self.cache:
                 seen.clear()
-            for unit in self.unit.findall(text):
-                found = seen.get(unit)
-                if found is None:
-                    found = self._coded(unit)
-                    if len(unit) <= 64:
-                        seen[unit] = found
-                blobs.append(found)
-            ids, widths = b"".join([b[0] for b in blobs]), b"".join([b[1] for b in blobs])
-        ids, widths = np.frombuffer(ids, "<u4"), np.frombuffer(widths, "<u4").astype(np.int64)
+            units = self.unit.findall(text)
+            blobs = [found if (found := seen.get(u)) is not None else self._kept(u) for u in units]
+            ids = b"".join([b[0] for b in blobs])
+            widths = b"" if self.bytes else b"".join([b[1] for b in blobs])
+        ids = np.frombuffer(ids, "=u4").astype("<u4", copy=False)
+        widths = self.width[ids] if self.bytes else np.frombuffer(widths, "=u4").astype(np.int64)
         if not self.bytes and self.by_units and len(ids):  # unknown ones may meet between units too
             new = np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))
             ids, widths = ids[new], np.add.reduceat(widths, np.flatnonzero(new))
