@@ -7,9 +7,10 @@ tree grows with the table, so a leaf's rows and the work of a query don't, up to
 priority queue of centroid distances and visits leaves, nearest first. How many is
 calibrated on some of the table's vectors, whose true neighbours among all rows are found
 by brute force: visits widen until their recall reaches the target, and the recall of
-others of them, which had no part in that, is reported. Leaves are joined with the
-queries that visit them in cells of bounded size, so one leaf may hold any share of all
-vectors.
+others of them, which had no part in that, is reported. Neighbouring leaves form cells
+of bounded size; a query is compared with all vectors of the cells whose leaves it
+visits. Cells are split further where one leaf alone holds more, so it may hold any
+share of all vectors.
 """
 
 from __future__ import annotations
@@ -108,12 +109,31 @@ class Tree:
         self.children += [[c + shift for c in kids] for kids in part.children[1:]]
         self.centroids = np.concatenate([self.centroids, part.centroids[1:]])
 
-    def leaves(self) -> int:
-        return sum(not kids for kids in self.children)
+    def leaves(self) -> list[int]:
+        """In the order of the tree, so that neighbours in it lie side by side."""
+        out, open_ = [], [0]
+        while open_:
+            node = open_.pop()
+            if self.children[node]:
+                open_ += self.children[node][::-1]
+            else:
+                out.append(node)
+        return out
+
+    def cells(self, sizes: dict[int, int], rows: int) -> dict[int, int]:
+        """A cell's number for every leaf that holds rows: neighbouring leaves share a cell of ``rows`` rows at most, a larger leaf has its own."""
+        out, cell, held = {}, 0, 0
+        for leaf in self.leaves():
+            if leaf in sizes:
+                if held and held + sizes[leaf] > rows:
+                    cell, held = cell + 1, 0
+                out[leaf] = cell
+                held += sizes[leaf]
+        return out
 
     def calibrate(self, queries: list[tuple[np.ndarray, list[int]]], target: float) -> None:
         """Sets ``visits`` to the fewest that reach ``target`` on every other query (vector, its true neighbours' leaves), ``recall`` to what the rest then reach."""
-        total = self.leaves()
+        total = len(self.leaves())
         found, wanted = np.zeros((2, total)), np.zeros(2)
         for i, (q, near) in enumerate(queries):
             turn = {node: n for n, node in enumerate(self.walk(q))}
@@ -299,39 +319,44 @@ def search(
     filed = durable(filed_under(rows, tree, dims), "filed")
     sizes = {r.leaf: r.n for r in filed.groupBy("leaf").agg(F.countDistinct("vec_id").alias("n")).collect()}  # one for each leaf
     tree.calibrate(true_neighbours(filed, dims, k, calibration), target)
-    shared, leaves = spark.sparkContext.broadcast(tree), tree.leaves()
+    cell_of = tree.cells(sizes, cell_vectors)
+    shared, leaves = spark.sparkContext.broadcast((tree, cell_of)), len(tree.leaves())
     kind = rows.schema["embedding"].dataType.simpleString()
 
     def visit(batches):
-        tree = shared.value
+        tree, cell_of = shared.value
         for batch in batches:
             at, x = _matrix(batch.column(1), dims)
             row, seen, share = [], [], []
             for i, q in zip(at.tolist(), x, strict=True):
                 held = n = 0
-                before = len(row)
+                cells = set()
                 for n, node in enumerate(tree.walk(q), 1):
                     if node in sizes:
-                        row.append(i)
-                        seen.append(node)
+                        cells.add(cell_of[node])
                         held += sizes[node]
                     if n >= tree.visits and held > k:
                         break
-                share += [n / leaves] * (len(row) - before)
+                row += [i] * len(cells)
+                seen += sorted(cells)
+                share += [n / leaves] * len(cells)
             part = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seen, pa.int64()), pa.array(share, pa.float64())], ["query_id", "embedding", "leaf", "share"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seen, pa.int64()), pa.array(share, pa.float64())], ["query_id", "embedding", "cell", "share"])
 
     asked = filed.where("ask").select(F.col("vec_id").alias("query_id"), "embedding")
-    visits = durable(asked.mapInArrow(visit, f"query_id long, embedding {kind}, leaf long, share double"), "visits")
-    asks = {r.leaf: r.n for r in visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each leaf
-    cells = spark.createDataFrame(
-        [(n, -(-sizes[n] // cell_vectors), -(-asks[n] // cell_queries)) for n in asks] or [(-1, 1, 1)], "leaf long, vs int, qs int")
-    cells = F.broadcast(cells)  # one row for each leaf
-    left = filed.join(cells, "leaf").select(
-        "vec_id", "embedding", "leaf", F.pmod(F.xxhash64("vec_id"), "vs").cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"))
-    right = visits.join(cells, "leaf").select(
-        "query_id", "embedding", "leaf", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("v"), F.pmod(F.xxhash64("query_id"), "qs").cast("int").alias("q"))
-    found = left.groupBy("leaf", "v", "q").cogroup(right.groupBy("leaf", "v", "q")).applyInArrow(_cell_search(k, dims), "query_id long, vec_id long, score double")
+    visits = durable(asked.mapInArrow(visit, f"query_id long, embedding {kind}, cell long, share double"), "visits")
+    asks = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each cell
+    held: dict[int, int] = {}
+    for node, c in cell_of.items():
+        held[c] = held.get(c, 0) + sizes[node]
+    parts = spark.createDataFrame([(c, -(-held[c] // cell_vectors), -(-n // cell_queries)) for c, n in asks.items()] or [(-1, 1, 1)], "cell long, vs int, qs int")
+    parts = F.broadcast(parts)  # one row for each cell
+    leaf_cells = F.broadcast(spark.createDataFrame(list(cell_of.items()), "leaf long, cell long"))  # one row for each leaf
+    left = filed.join(leaf_cells, "leaf").join(parts, "cell").select(
+        "vec_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), "vs").cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"))
+    right = visits.join(parts, "cell").select(
+        "query_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("v"), F.pmod(F.xxhash64("query_id"), "qs").cast("int").alias("q"))
+    found = left.groupBy("cell", "v", "q").cogroup(right.groupBy("cell", "v", "q")).applyInArrow(_cell_search(k, dims), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     share = visits.groupBy("query_id").agg(F.max("share").alias("visited_share"))
