@@ -280,22 +280,42 @@ def star_pairs(lists: DataFrame, bound: Bound) -> DataFrame:
     return met.groupBy("same").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")).select(F.col("same").alias("u"), F.col("lead").alias("v"))
 
 
+def bit_maps(found: DataFrame, sets: DataFrame, size: int, longs: int = 16) -> DataFrame:
+    """(same, m0, m1, ...): for every one of the ``sets`` (_same) a map of 64 x ``longs`` bits, one set for each shingle, by its hash."""
+    names = [f"m{k}" for k in range(longs)]
+    rows = found.select("_same", "_row").join(sets, "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row")).select("_row")
+    texts = only(found.select("_row", "_same", "text"), durable(rows, "mapped-rows"), "_row", keep=True).select("_same", "text")
+
+    def run(batches):
+        hashes = _WordHashes()
+        for batch in batches:
+            maps = np.zeros((batch.num_rows, 64 * longs), np.uint8)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                maps[i, (shingle_set(text or "", size, hashes) >> np.uint64(20)) % np.uint64(64 * longs)] = 1
+            packed = np.packbits(maps, axis=1).view(np.int64)
+            yield pa.record_batch({"same": batch.column(0)} | {n: pa.array(packed[:, k]) for k, n in enumerate(names)})
+
+    return texts.mapInArrow(run, "same long, " + ", ".join(f"{n} long" for n in names))
+
+
 def meetings(lists: DataFrame, bound: Bound, rows_out: int = 100_000, back: int = 4) -> DataFrame:
     """(u, v): the pairs of sets of different components that meet in some list of ``lists`` (h, same, n, pos, component) and whose sizes and places there don't rule the similarity out.
 
-    A set's rows carry its ``back`` shared shingles before; where two sets have one of
-    those in common they met there already, and the pair isn't made again. The first
-    shingle they share always makes it.
+    A set's rows carry its ``back`` shared shingles before (b1, b2, ...); where two sets
+    have one of those in common they met there already, and the pair isn't made again. The
+    first shingle they share always makes it. Rows may also carry their set's bit map (m0,
+    m1, ...): every bit that differs is a shingle that only one of the two has, which
+    rules out pairs with more of them than similar sets can have.
     """
-    before = W.partitionBy("same").orderBy("pos")
-    rows = lists.select("h", "same", "n", "pos", "component", *[F.coalesce(F.lag("h", k).over(before), "same").alias(f"b{k}") for k in range(1, back + 1)])
+    maps = [c for c in lists.columns if c[0] == "m" and c[1:].isdigit()]
 
-    def work(h, same, n, pos, component, *past):
+    def work(h, same, n, pos, component, *rest):
+        past, bits = rest[:back], rest[back:]
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(start, len(h)))
         mixed = np.repeat(np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start), size)
         h, same, n, pos, component = h[mixed], same[mixed], n[mixed].astype(np.int64), pos[mixed].astype(np.int64), component[mixed]
-        past = [x[mixed] for x in past]
+        past, bits = [x[mixed] for x in past], [x[mixed] for x in bits]
         i, d = np.arange(len(h) - 1), 1
         while len(i):
             i = i[i + d < len(h)]
@@ -309,12 +329,22 @@ def meetings(lists: DataFrame, bound: Bound, rows_out: int = 100_000, back: int
                 for b in past:
                     new = a[x] != b[y]
                     x, y = x[new], y[new]
+            if bits and len(x):
+                differ = sum(np.bitwise_count((m[x] ^ m[y]).view(np.uint64)).astype(np.int64) for m in bits)
+                near = differ <= n[x] + n[y] - 2 * bound.shared(n[x] + n[y])
+                x, y = x[near], y[near]
             for k in range(0, len(x), rows_out):
                 a, b = same[x[k:k + rows_out]], same[y[k:k + rows_out]]
                 yield pa.record_batch({"u": np.minimum(a, b), "v": np.maximum(a, b)})
             d += 1
 
-    return by_list(rows, work, "u long, v long")
+    return by_list(lists.select("h", "same", "n", "pos", "component", *[f"b{k}" for k in range(1, back + 1)], *maps), work, "u long, v long")
+
+
+def with_past(lists: DataFrame, back: int = 4) -> DataFrame:
+    """Adds b1, b2, ...: the set's shared shingles before, its own number where there is none."""
+    before = W.partitionBy("same").orderBy("pos")
+    return lists.withColumns({f"b{k}": F.coalesce(F.lag("h", k).over(before), "same") for k in range(1, back + 1)})
 
 
 def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound) -> DataFrame:
@@ -342,21 +372,25 @@ def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound) -> DataFr
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: int = 20_000, most: int = 100_000) -> DataFrame:
+def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: int = 20_000, most: int = 100_000, crowd: int = 64) -> DataFrame:
     """(u, v): links that connect exactly the shingle sets of ``found`` (_same, _row, text) which pairs of ``similarity`` or more connect.
 
     Similar sets meet in an index of each one's rarest shingles (a prefix filter loses
     none). First every set is compared with one set it meets often, the likeliest source
     of its group of near copies, which takes one pair a set and joins most groups. Then
-    all pairs that meet and aren't joined yet are compared in full. Pairs within what is
-    joined would add nothing, so a group's pairs aren't made.
+    all pairs that meet and aren't joined yet are compared in full, but for those of lists
+    of ``crowd`` sets or more whose bit maps differ too much. Pairs within what is joined
+    would add nothing, so a group's pairs aren't made.
     """
     bound = Bound.of(similarity)
     lists = durable(shared_lists(prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))), "shared-lists")
     first = durable(alike(found, durable(star_pairs(lists, bound), "stars"), size, bound), "star-links")
     joined = components(first).select(F.col("node").alias("same"), "component")
-    marked = lists.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same"))
-    near = durable(meetings(marked, bound).distinct(), "meetings")
+    marked = durable(with_past(lists.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same"))), "marked-lists")
+    long = marked.where(F.col("size") >= crowd)
+    maps = bit_maps(found, durable(long.select(F.col("same").alias("_same")).distinct(), "crowded"), size)
+    met = meetings(marked.where(F.col("size") < crowd), bound).union(meetings(long.join(maps, "same"), bound))
+    near = durable(met.distinct(), "meetings")
     return first.union(alike(found, near, size, bound))
 
 

@@ -95,7 +95,11 @@ def test_pairs_of_a_group_are_not_made(spark):
     stars = neardup.star_pairs(lists, bound).collect()
     assert len(stars) <= 80 and {r.v for r in stars} == {0}
     joined = lists.withColumn("component", F.lit(0).cast("long"))
-    assert neardup.meetings(joined, bound).count() == 0
+    assert neardup.meetings(neardup.with_past(joined), bound).count() == 0
     apart = lists.withColumn("component", F.col("same"))
-    made = neardup.meetings(apart, bound)
+    made = neardup.meetings(neardup.with_past(apart), bound)
     assert made.distinct().count() <= made.count() < 0.2 * lists.agg(F.sum((F.col("size") - 1) / 2)).first()[0]
+    maps = neardup.bit_maps(found, found.select("_same"), 5)
+    left = {(r.u, r.v) for r in neardup.meetings(neardup.with_past(apart).join(maps, "same"), bound).collect()}
+    similar = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if alike(a.tolist(), b.tolist()) >= 0.8}
+    assert similar <= left <= {(r.u, r.v) for r in made.collect()} and len(left) < made.distinct().count()
