@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import ann, licenses, neardup, packing, pieces, pii, quality_model, quality_rules, sharding, toxicity
+from fathomline.llm import ann, audit, licenses, neardup, packing, pieces, pii, quality_model, quality_rules, repeats, sharding, toxicity, trie
 from fathomline.llm.common import held_out, table
 from fathomline.llm.oracles import ORACLE_SQL
 
@@ -65,6 +65,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id").cast("long")
+    turns = trie.turn_rows(table(spark, sf_dir, "conversations"), conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9)
+    return trie.prefix_trie(turns).drop("digest")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
@@ -78,4 +92,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_repeats": op13_repeats,
 }
