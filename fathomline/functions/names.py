@@ -59,10 +59,41 @@ def sorted_words(key: Column) -> Column:
     return F.concat_ws(" ", F.array_sort(F.array_distinct(F.filter(F.split(key, " "), lambda w: w != ""))))
 
 
-def club_key(name: Column, endings: tuple[str, ...] = ("fc", "cf", "afc", "sc", "ac", "club", "football")) -> Column:
-    """An identity key without the words that clubs add to their names."""
-    kept = F.filter(F.split(identity_key(name), " "), lambda w: ~w.isin(*endings))
-    return F.when(F.size(kept) > 0, F.concat_ws(" ", kept)).otherwise(identity_key(name))
+#: Organisational words that clubs add to their names; fixed values.
+CLUB_WORDS = "fc cf sc afc ac cd ca club se ss ssc ogc osc bsc hsc fk sk sl sv vfb tsg rc cr us ks hnk if jk futbol football soccer deportivo united".split()
+
+
+def club_key(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    """An identity key without country tags, ordinals and the words that clubs add to their names.
+
+    ``aliases``: phrases of whole words, in identity-key form, and what they are read as,
+    applied in their order. Names made of nothing but such words keep their key.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\s*\([A-Za-z]{3}\)\s*$", ""), r"\s*-[A-Z]{3}\s*$", ""), r"\s*\([^)]+\)\s*$", ""), r"^\s*[0-9]+\.\s*", "")
+    key = identity_key(bare)
+    for phrase, short in (aliases or {}).items():
+        key = F.trim(F.replace(F.concat(F.lit(" "), key, F.lit(" ")), F.lit(f" {phrase} "), F.lit(f" {short} ")))
+    kept = F.regexp_replace(F.array_join(F.filter(F.split(key, " "), lambda w: ~w.isin(CLUB_WORDS)), " "), r"\s+c f$", "")
+    return F.when(kept != "", kept).otherwise(key)
+
+
+#: Straight and curly double quotes, and the apostrophe.
+_QUOTES = "[\"\u201c\u201d']+"
+_UNQUOTED = "[^\"\u201c\u201d']+"
+
+
+def nickname(name: Column) -> Column:
+    """What stands between quotes first, trimmed; empty without."""
+    return F.trim(F.regexp_extract(name, f"{_QUOTES}({_UNQUOTED}){_QUOTES}", 1))
+
+
+def without_nickname(name: Column) -> Column:
+    return F.trim(F.regexp_replace(name, rf"\s*{_QUOTES}{_UNQUOTED}{_QUOTES}\s*", " "))
+
+
+def compact_key(key: Column) -> Column:
+    """A key without its spaces."""
+    return F.regexp_replace(key, "[^a-z0-9]+", "")
 
 
 def canonical(df: DataFrame, name: str, aliases: DataFrame, out: str, strict: bool = False) -> DataFrame:

@@ -1,109 +1,26 @@
-"""Matching of entities across sources: blocked similarity, staged one-to-one matching, inverted names."""
+"""Matching of entities by inverted names, and where lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.names import inverted, ratio, sorted_words
+from fathomline.functions.names import inverted
 from fathomline.operators.windows import best_per_key
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the session names; a temporary one for local sessions alone."""
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Points checkpoints to the folder that ``spark.checkpoint.dir`` names; a temporary one for local sessions alone."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def blocked_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id, exact): rows of equal ``key``; else rows whose left key's first or last word is a word of the right key.
-
-    Blocks are equi-joins on words, so no name is compared with all others. Keys are
-    distinct texts here: what repeats meets once, through the key.
-    """
-    names = lambda df, n: df.select(F.col("key").alias(n)).where(F.col(n) != "").distinct()
-    a, b = names(left, "a"), names(right, "b")
-    same = a.join(b, F.col("a") == F.col("b"))
-    words = F.split("a", " ")
-    asked = a.join(same.select("a"), "a", "left_anti").select("a", F.explode(F.array_distinct(F.array(words[0], F.element_at(words, -1)))).alias("word"))
-    held = b.select("b", F.explode(F.array_distinct(F.split("b", " "))).alias("word"))
-    near = asked.join(held, "word").select("a", "b").distinct()
-    pairs = same.select("a", "b", F.lit(True).alias("exact")).union(near.withColumn("exact", F.lit(False)))
-    return pairs.join(left.select(F.col("key").alias("a"), left_id), "a").join(right.select(F.col("key").alias("b"), right_id), "b").select(left_id, right_id, "exact")
-
-
-def match_score(name: Column, club: Column, country: Column, position: Column) -> Column:
-    """0.78 of the name's similarity, with what club, country and position add; 1 at most."""
-    return F.least(F.lit(1.0), 0.78 * name + F.when(club == 1, 0.14).when(club >= 0.88, 0.08).when(club >= 0.75, 0.04).otherwise(0.0)
-                   + F.when(country == 1, 0.08).when(country >= 0.85, 0.03).otherwise(0.0) + F.when(position, 0.05).otherwise(0.0))
-
-
-def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, auto: float = 0.92, review: float = 0.84) -> DataFrame:
-    """(left_id, right_id, score, method, tier): each left row's best candidate, ties to the smaller right id; null where a block is empty.
-
-    Both sides have key, club, country and position ("" where unknown). Similarities of
-    names are computed once for each distinct pair of texts.
-    """
-    cols = ("key", "club", "country", "position")
-    side = lambda df, i, p: df.select(i, *[F.coalesce(c, F.lit("")).alias(f"{p}_{c}") for c in cols])
-    pairs = blocked_pairs(left, right, left_id, right_id)
-    both = pairs.join(side(left, left_id, "l"), left_id).join(side(right, right_id, "r"), right_id)
-    texts = both.select("l_key", "r_key").distinct()
-    alike = texts.withColumn("name", F.greatest(ratio("l_key", "r_key"), ratio(sorted_words(F.col("l_key")), sorted_words(F.col("r_key")))))
-    clubs = both.select("l_club", "r_club").distinct().withColumn("club", ratio("l_club", "r_club"))
-    lands = both.select("l_country", "r_country").distinct().withColumn("country", ratio("l_country", "r_country"))
-    scored = both.join(alike, ["l_key", "r_key"]).join(clubs, ["l_club", "r_club"]).join(lands, ["l_country", "r_country"])
-    position = (F.col("r_position") != "") & (F.col("l_position") == F.col("r_position"))
-    exact, same_words = F.col("l_key") == F.col("r_key"), sorted_words(F.col("l_key")) == sorted_words(F.col("r_key"))
-    method = F.when(exact & (F.col("club") == 1), "exact_name_club").when(exact, "exact_name").when(same_words, "exact_name_words").when(F.col("name") >= 0.90, "near_name").otherwise("fuzzy_name")
-    rows = scored.select(left_id, right_id, F.bround(match_score(F.col("name"), F.col("club"), F.col("country"), position), 4).alias("score"), method.alias("method"))
-    best = best_per_key(rows, [left_id], [F.desc("score"), F.col(right_id)])
-    tier = F.when(F.col("score") >= auto, "auto").when(F.col("score") >= review, "review").when(F.col("score").isNotNull(), "low").otherwise("no_candidate")
-    return left.select(left_id).join(best, left_id, "left").select(left_id, right_id, "score", F.coalesce("method", F.lit("unmatched")).alias("method"), tier.alias("tier"))
-
-
-def staged_match(left: DataFrame, right: DataFrame, by: list[str], left_id: str, right_id: str, stages: list[tuple[str, Column]], fuzzy: float = 0.80) -> DataFrame:
-    """One-to-one matches within ``by``: stage after stage on keys that are unique on both sides among what is left, then by similarity, most alike first.
-
-    ``stages`` are (name, key): a Column over either side's columns. Returns by, both
-    ids, method and score; what stays unmatched is left_only or right_only. The greedy
-    stage picks, over and over, the pairs that are each other's best; it ends when no
-    pair of ``fuzzy`` or more is left. Lineage is cut by checkpoints in the shared folder
-    that ``spark.checkpoint.dir`` names.
-    """
-    if left.sparkSession.sparkContext.getCheckpointDir() is None:
-        left.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(left.sparkSession))
-    names, done = [], None
-    a, b = left, right
-    for name, key in stages:
-        one = lambda df, i: df.withColumn("_k", key).where(F.col("_k") != "").groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"), F.min(i).alias(i)).where("_n = 1").drop("_n")  # noqa: B023, E731
-        found = one(a, left_id).join(one(b, right_id), [*by, "_k"]).select(*by, left_id, right_id, F.lit(name).alias("method"), F.lit(1.0).alias("score"))
-        names.append(found)
-        a, b = a.join(found.select(left_id), left_id, "left_anti"), b.join(found.select(right_id), right_id, "left_anti")
-    done = names[0]
-    for found in names[1:]:
-        done = done.union(found)
-    pairs = a.select(*by, left_id, F.col("key").alias("_a")).join(b.select(*by, right_id, F.col("key").alias("_b")), by)
-    pairs = pairs.withColumn("score", ratio("_a", "_b")).where(F.col("score") >= fuzzy).select(*by, left_id, right_id, "score").checkpoint()
-    while True:
-        l_best = F.row_number().over(W.partitionBy(left_id).orderBy(F.desc("score"), right_id))
-        r_best = F.row_number().over(W.partitionBy(right_id).orderBy(F.desc("score"), left_id))
-        found = pairs.withColumn("_l", l_best).withColumn("_r", r_best).where("_l = 1 AND _r = 1").drop("_l", "_r").checkpoint()
-        if found.isEmpty():
-            break
-        done = done.union(found.select(*by, left_id, right_id, F.lit("fuzzy").alias("method"), "score"))
-        pairs = pairs.join(found.select(left_id), left_id, "left_anti").join(found.select(right_id), right_id, "left_anti").checkpoint()
-    none = F.lit(None)
-    l_rest = left.join(done.select(left_id), left_id, "left_anti").select(*by, left_id, none.cast(right.schema[right_id].dataType).alias(right_id), F.lit("left_only").alias("method"), F.lit(0.0).alias("score"))
-    r_rest = right.join(done.select(right_id), right_id, "left_anti").select(*by, none.cast(left.schema[left_id].dataType).alias(left_id), right_id, F.lit("right_only").alias("method"), F.lit(0.0).alias("score"))
-    return done.union(l_rest).union(r_rest)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(found)
 
 
 def match_either_way(left: DataFrame, right: DataFrame, key: str, value: str, tie: str, out: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import names as M
 from fathomline.functions import scalars as S
 from fathomline.operators import entities as E
+from fathomline.operators import matching as K
 from fathomline.operators import reports as P
 from fathomline.operators import rules as R
 from fathomline.operators import windows as V
@@ -63,27 +64,63 @@ def match_inverted(spark, d):
     return E.match_either_way(left, p.where("k % 2 = 1"), "key", "v", "k", "best").select("k", "best")
 
 
-def _people(spark, d, low, high):
-    """Customers as one source of names and suppliers as another, with words of the parts' table."""
-    p = table(spark, d, "part").where(F.col("p_partkey") % 10 < high).where(F.col("p_partkey") % 10 >= low)
-    return p.select(
-        F.col("p_partkey").alias("id"), M.identity_key(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("key"), F.lower("p_brand").alias("club"), F.lower("p_type").alias("country"),
-        F.when(F.col("p_size") > 25, "big").otherwise("small").alias("position"))
+def _openings(spark, d):
+    """Every document as a person: its opening three words as the name, its source as the club, its language as the country."""
+    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""), 1, 3)
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), words.alias("words"), F.coalesce("source", F.lit("")).alias("club"), F.coalesce("lang", F.lit("")).alias("country"), F.when(F.col("n_chars") > 900, "long").otherwise("short").alias("position"))
+
+
+def two_lists(spark, d):
+    """The openings, and the same as another list writes them: the second word first, the last two letters gone, a third of the clubs renamed."""
+    o = _openings(spark, d)
+    turned = F.concat_ws(" ", F.get("words", F.lit(1)), F.get("words", F.lit(0)), F.get("words", F.lit(2)))
+    left = o.select(F.col("id").alias("left_id"), M.identity_key(F.concat_ws(" ", "words")).alias("key"), "club", "country", "position")
+    club = F.when(F.col("id") % 3 == 0, F.concat("club", F.lit(" fc"))).otherwise(F.col("club"))
+    key = M.identity_key(turned)
+    return left, o.select(
+        F.col("id").alias("right_id"), F.trim(F.substring(key, F.lit(1), F.greatest(F.length(key) - 2, F.lit(0)))).alias("key"), club.alias("club"), "country", "position")
 
 
 @query(None)
 def fuzzy_match(spark, d):
-    """Parts of one third matched to those of another by name, brand, type and size class; tested against brute force."""
-    left, right = _people(spark, d, 0, 3).withColumnRenamed("id", "left_id"), _people(spark, d, 3, 6).withColumnRenamed("id", "right_id")
-    return E.best_match(left, right, "left_id", "right_id")
+    """Each opening's best match in the other list by name, club, country and position; tested against brute force."""
+    left, right = two_lists(spark, d)
+    return K.best_match(left, right, "left_id", "right_id")
+
+
+def two_rosters(spark, d):
+    """The openings by club and country as two rosters that spell names in seven ways, each row in both."""
+    o = _openings(spark, d).withColumn("k", F.col("id") % 7)
+    w = lambda i: F.coalesce(F.get("words", F.lit(i)), F.lit(""))
+    name = F.concat_ws(" ", "words")
+    left = o.select(F.col("id").alias("left_id"), F.concat_ws("/", "club", "country").alias("team"), F.when(F.col("k") == 5, F.concat(w(0), F.lit(' "'), w(1), w(2), F.lit('"'))).otherwise(name).alias("name"), "club", "position")
+    other = F.when(F.col("k") == 0, name).when(F.col("k") == 1, F.upper(name)).when(F.col("k") == 2, F.concat_ws(" ", w(2), w(0), w(1))).when(F.col("k") == 3, F.concat_ws(" ", w(0), w(2))).when(
+        F.col("k") == 4, F.concat_ws(" ", w(0), F.concat(F.reverse(F.substring(w(1), 1, 4)), w(2)))).when(F.col("k") == 5, F.concat(w(1), F.lit(" "), w(2))).otherwise(F.concat(w(0), w(1), w(2)))
+    return left, o.select(
+        F.col("id").alias("right_id"), F.concat_ws("/", "club", "country").alias("team"), other.alias("name"), F.when(F.col("id") % 5 == 0, F.concat("club", F.lit(" FC (ENG)"))).otherwise(F.col("club")).alias("club"), "position")
 
 
 @query(None)
 def staged_match(spark, d):
-    """One-to-one matches within a brand by name, then by the name's words, then by similarity; tested against brute force."""
-    left = _people(spark, d, 0, 2).select(F.col("id").alias("left_id"), F.col("club").alias("team"), "key")
-    right = _people(spark, d, 5, 7).select(F.col("id").alias("right_id"), F.col("club").alias("team"), "key")
-    return E.staged_match(left, right, ["team"], "left_id", "right_id", [("name", F.col("key")), ("words", M.sorted_words(F.col("key")))])
+    """The rosters matched one to one in all stages; tested against brute force."""
+    left, right = two_rosters(spark, d)
+    return K.roster_match(left, right, ["team"], "left_id", "right_id")
+
+
+def misspelled(spark, d):
+    """Part names that each lack a letter, and the names themselves as the known ones."""
+    p = table(spark, d, "part")
+    at = (F.col("p_partkey") % F.length("p_name")).cast("int")
+    names = p.select(F.concat(F.substring("p_name", F.lit(1), at), F.substring(F.col("p_name"), at + 2, F.length("p_name"))).alias("name"))
+    return names, p.select(F.col("p_name").alias("canonical"), M.team_key(F.col("p_name")).alias("key")).distinct()
+
+
+@query(None)
+def name_suggestions(spark, d):
+    """Names without a canonical one, how often they come up and the nearest; tested against brute force."""
+    names, known = misspelled(spark, d)
+    return K.name_coverage(names, known, M.team_key(F.col("name")))[1]
 
 
 @query("""
@@ -172,10 +209,10 @@ WITH h AS (SELECT team, count(*) AS games FROM (SELECT c_mktsegment AS team FROM
 SELECT team, coalesce(games, 0) AS games, games IS NOT NULL AS in_history FROM c LEFT JOIN h USING (team)""")
 def name_coverage(spark, d):
     c = table(spark, d, "customer")
-    both = c.where("c_nationkey < 20").select(F.col("c_mktsegment").alias("team")).unionAll(c.where("c_nationkey > 15").select("c_mktsegment"))
-    known = spark.createDataFrame([("BUILDING",), ("AUTOMOBILE",), ("MACHINERY",), ("GARDEN",)], "team string")
-    found = both.groupBy("team").agg(F.count(F.lit(1)).alias("games"))
-    return known.join(found, "team", "left").select("team", F.coalesce("games", F.lit(0)).alias("games"), F.col("games").isNotNull().alias("in_history"))
+    both = c.where("c_nationkey < 20").select(F.col("c_mktsegment").alias("name")).unionAll(c.where("c_nationkey > 15").select("c_mktsegment"))
+    known = spark.createDataFrame([(t, t.lower()) for t in ("BUILDING", "AUTOMOBILE", "MACHINERY", "GARDEN")], "canonical string, key string")
+    per, _ = K.name_coverage(both, known, M.team_key(F.col("name")))
+    return per.select(F.col("canonical").alias("team"), F.col("uses").alias("games"), F.col("covered").alias("in_history"))
 
 
 @query("""

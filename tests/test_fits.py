@@ -1,13 +1,9 @@
-"""Fitted models by bounds, matching against brute force, and single values of the scalar functions."""
-
-from difflib import SequenceMatcher
+"""Fitted models by bounds, and single values of the scalar functions."""
 
 import pytest
 from fathomline.functions import names as M
 from fathomline.functions import scalars as S
-from fathomline.operators import entities as E
 from fathomline.plans.models import blend_parameters, goal_rates, result_classes, tree_market, variant_backtest
-from fathomline.plans.names import _people, fuzzy_match, staged_match
 from pyspark.sql import functions as F
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -37,52 +33,6 @@ def test_variants(spark):
     assert {r.variant for r in variant_backtest(spark, SMALL).collect()} <= {"raw", "drawn", "even"}
 
 
-def slow_ratio(a, b):
-    return 0.0 if not a or not b else 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
-
-
-def test_best_match_is_the_best(spark):
-    left, right = (_people(spark, SMALL, *x).collect() for x in ((0, 3), (3, 6)))
-    got = {r.left_id: r for r in fuzzy_match(spark, SMALL).collect()}
-    words = lambda k: " ".join(sorted(set(k.split())))
-    assert len(got) == len(left) and {r.tier for r in got.values()} >= {"low"}
-    for a in left:
-        block = [b for b in right if b.key == a.key] or [b for b in right if {a.key.split()[0], a.key.split()[-1]} & set(b.key.split())]
-        scored = []
-        for b in block:
-            name, club, land = max(slow_ratio(a.key, b.key), slow_ratio(words(a.key), words(b.key))), slow_ratio(a.club, b.club), slow_ratio(a.country, b.country)
-            s = 0.78 * name + (0.14 if club == 1 else 0.08 if club >= 0.88 else 0.04 if club >= 0.75 else 0) + (0.08 if land == 1 else 0.03 if land >= 0.85 else 0) + (0.05 if a.position == b.position else 0)
-            scored.append((min(s, 1.0), b.id))
-        if not scored:
-            assert got[a.id].tier == "no_candidate" and got[a.id].right_id is None
-        else:
-            assert got[a.id].score == pytest.approx(max(scored)[0], abs=1e-4) and any(i == got[a.id].right_id and s == pytest.approx(max(scored)[0], abs=1e-4) for s, i in scored)
-
-
-def test_staged_match_is_one_to_one(spark):
-    rows = staged_match(spark, SMALL).collect()
-    left = [r.left_id for r in rows if r.left_id is not None]
-    right = [r.right_id for r in rows if r.right_id is not None]
-    assert len(left) == len(set(left)) and len(right) == len(set(right))
-    a, b = {r.id: r for r in _people(spark, SMALL, 0, 2).collect()}, {r.id: r for r in _people(spark, SMALL, 5, 7).collect()}
-    assert set(left) == set(a) and set(right) == set(b)
-    for r in rows:
-        if r.left_id is not None and r.right_id is not None:
-            assert a[r.left_id].club == b[r.right_id].club and (r.method != "fuzzy" or r.score >= 0.8)
-    loose = [r for r in rows if r.method == "left_only"]
-    for x in loose:  # nobody of the same team that is alike enough is left either
-        for y in rows:
-            if y.method == "right_only" and b[y.right_id].club == a[x.left_id].club:
-                assert slow_ratio(a[x.left_id].key, b[y.right_id].key) < 0.8
-
-
-def test_staged_match_by_hand(spark):
-    left = spark.createDataFrame([("t", 1, "ana maria silva"), ("t", 2, "jon smith"), ("t", 3, "li wei"), ("t", 4, "peter"), ("u", 5, "jon smith")], "team string, a int, key string")
-    right = spark.createDataFrame([("t", 11, "silva ana maria"), ("t", 12, "jon smith"), ("t", 13, "li weii"), ("t", 14, "oscar")], "team string, b int, key string")
-    got = {(r.a, r.b): r.method for r in E.staged_match(left, right, ["team"], "a", "b", [("name", F.col("key")), ("words", M.sorted_words(F.col("key")))]).collect()}
-    assert got == {(1, 11): "words", (2, 12): "name", (3, 13): "fuzzy", (4, None): "left_only", (5, None): "left_only", (None, 14): "right_only"}
-
-
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
