@@ -29,6 +29,8 @@ from fathomline.llm.units import encode_units
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between white space doesn't begin a token of its own; any other space does.
 INSIDE_RUN = re.compile(r"\s \s")
+#: The pattern steps back over a run of white space, one level of a stack for each character; longer runs don't go through it.
+RUN, LONG_RUN = re.compile(r"\s\s+"), 10_000
 
 
 class ByteBpe:
@@ -36,8 +38,8 @@ class ByteBpe:
 
     A space that isn't inside a run of white space always begins a token, so a text
     falls into units there, and a batch's distinct units are encoded once. Texts with
-    such runs go through the encoder whole; those that hold a special token's string go
-    to the library itself.
+    such runs go through the encoder whole; those that hold a special token's string or a
+    run of 10,000 or more go to the library itself, which takes any length.
     """
 
     def __init__(self, path: str):
@@ -68,7 +70,7 @@ class ByteBpe:
         """Little-endian unsigned 32-bit ids of every text."""
         out, at = [b""] * len(texts), []
         for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
+            if any(s in text for s in self.special) or len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in RUN.finditer(text)):
                 out[i] = self.library(text).tobytes()
             elif INSIDE_RUN.search(text):
                 out[i] = self.encode(text).tobytes()
