@@ -217,13 +217,13 @@ def calibrated(probs: list[Column], curves: list[tuple[list[float], list[float]]
     return [c / whole for c in cut]
 
 
-def blend_weight(rating_gap: Column, elo_gap: Column, close: float = 0.15, strong: float = 0.45, low: float = 0.25, high: float = 0.80) -> tuple[Column, Column, Column]:
+def blend_weight(rating_gap: Column, elo_gap: Column, close: float | Column = 0.15, strong: float | Column = 0.45, low: float | Column = 0.25, high: float | Column = 0.80) -> tuple[Column, Column, Column]:
     """(weight, strength, regime) of the second model: rises from ``low`` to ``high`` while the gap rises from ``close`` to ``strong``.
 
     The strength is the rating gap's size, else the Elo gap's over 600 (1 at most), else ``close``.
     """
     strength = F.coalesce(F.abs(rating_gap), F.least(F.abs(elo_gap) / 600.0, F.lit(1.0)), F.lit(close))
-    weight = low + clip((strength - close) / (strong - close), 0.0, 1.0) * (high - low)
+    weight = F.lit(low) + clip((strength - close) / (strong - close), 0.0, 1.0) * (high - low)
     return F.bround(weight, 4), F.bround(strength, 4), F.when(weight <= 0.35, "first_lean").when(weight >= 0.70, "second_lean").otherwise("blend")
 
 

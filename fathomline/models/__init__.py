@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.scalars import blend_weight, clip
 from fathomline.operators.aggregates import covered_columns
+from fathomline.operators.entities import shared_checkpoints
 
 
 @dataclass
@@ -135,6 +137,67 @@ def fit_blend(df: DataFrame, first: list[str], second: list[str], label: str, ra
     return best
 
 
+def evolve_blend(df: DataFrame, first: list[str], second: list[str], label: str, rating_gap: str, elo_gap: str, generations: int = 80, size: int = 48, tolerance: float = 1e-5, seed: int = 42) -> tuple[dict[str, float], float]:
+    """The blend's four parameters of least log-loss, and that loss, by differential evolution with a fixed seed.
+
+    A generation is one aggregate: every row meets the whole population, an array of
+    ``size`` points of constant size, and is summed up by point before anything moves.
+    Points off strong > close + 0.02 or high >= low lose to any other. It ends when the
+    population's losses differ by no more than ``tolerance`` of their mean.
+    """
+    names, bounds = ("close", "strong", "low", "high"), np.array([(0.02, 0.35), (0.20, 1.00), (0.00, 0.80), (0.05, 1.00)])
+    w, _, _ = blend_weight(F.col("_g"), F.col("_e"), *[F.get("_p", F.lit(i)) for i in range(4)])
+    rows = df.where(F.col(label).isNotNull()).select(F.col(rating_gap).alias("_g"), F.col(elo_gap).alias("_e"), F.col(label).alias("_y"), *[F.col(c).alias(f"_{s}{i}") for s, cs in (("a", first), ("b", second)) for i, c in enumerate(cs)])
+    probs = [F.greatest((1 - w) * F.col(f"_a{i}") + w * F.col(f"_b{i}"), F.lit(1e-6)) for i in range(len(first))]
+    right = F.coalesce(*[F.when(F.col("_y") == i, q) for i, q in enumerate(probs)])
+    shared_checkpoints(df.sparkSession)
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).checkpoint()  # equal rows count once
+
+    def losses(points: np.ndarray) -> np.ndarray:
+        fit = (points[:, 1] > points[:, 0] + 0.02) & (points[:, 3] >= points[:, 2])
+        out = np.where(fit, np.inf, 10 + np.abs(points[:, 1] - points[:, 0]) + np.abs(points[:, 3] - points[:, 2]))
+        if fit.any():
+            met = rows.select("*", F.posexplode(F.lit(points[fit].tolist())).alias("_k", "_p"))
+            sums = met.groupBy("_k").agg(F.sum(-F.log(right / sum(probs[1:], probs[0])) * F.col("_n")).alias("s"), F.sum("_n").alias("n")).collect()
+            out[np.flatnonzero(fit)[[r._k for r in sums]]] = [np.inf if r.s is None else r.s / r.n for r in sums]
+        return out
+
+    rng = np.random.default_rng(seed)
+    spread = bounds[:, 1] - bounds[:, 0]
+    strata = (np.argsort(rng.random((4, size)), axis=1).T + rng.random((size, 4))) / size
+    points = bounds[:, 0] + strata * spread
+    points[0] = [0.15, 0.45, 0.25, 0.80]
+    found = losses(points)
+    for _ in range(generations):
+        if not np.isfinite(found).any():
+            break
+        best = points[np.argmin(found)]
+        factor = rng.uniform(0.5, 1.0)
+        a, b = (points[rng.permuted(np.arange(size))] for _ in range(2))
+        mutant = best + factor * (a - b)
+        off = (mutant < bounds[:, 0]) | (mutant > bounds[:, 1])
+        mutant = np.where(off, bounds[:, 0] + rng.random((size, 4)) * spread, mutant)
+        cross = rng.random((size, 4)) < 0.7
+        cross[np.arange(size), rng.integers(0, 4, size)] = True
+        trial = np.where(cross, mutant, points)
+        got = losses(trial)
+        better = got <= found
+        points[better], found[better] = trial[better], got[better]
+        usable = found[found < 10]
+        if len(usable) and np.std(found) <= tolerance * abs(np.mean(found)):
+            break
+    k = int(np.argmin(found))
+    return {n: round(float(v), 6) for n, v in zip(names, points[k], strict=True)}, float(found[k])
+
+
+def blend_loss(df: DataFrame, first: list[str], second: list[str], label: str, rating_gap: str, elo_gap: str, params: dict[str, float]) -> float:
+    """The log-loss of one point of the blend's parameters."""
+    w, _, _ = blend_weight(F.col(rating_gap), F.col(elo_gap), **params)
+    probs = [F.greatest((1 - w) * F.col(a) + w * F.col(b), F.lit(1e-6)) for a, b in zip(first, second, strict=True)]
+    right = F.coalesce(*[F.when(F.col(label) == i, q) for i, q in enumerate(probs)])
+    return df.agg(F.avg(-F.log(right / sum(probs[1:], probs[0])))).first()[0]
+
+
 def fit_isotonic(df: DataFrame, probs: list[str], label: str) -> list[tuple[list[float], list[float]]]:
     """For each class the knots (thresholds, values) of a rising curve of its share over its probability, one against the rest. Probabilities are rounded to four digits first, which bounds the knots."""
     out = []
