@@ -374,3 +374,22 @@ def prop_prices(spark, d):
     prob = M.prop_probability(F.col("lam"), 0.5, F.col("market"), {"shots": 0.80}, F.when(F.col("market") == "shots_on_target", 0.40))
     out = p.withColumn("prob", prob)
     return out.select("k", F.round("prob", 6).alias("prob"), M.prop_action(F.col("prob"), F.col("tier"), F.col("market"), 1 / F.col("prob")).alias("action"))
+
+
+@query("""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS signal_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'closing' WHEN 'error' THEN 'result' ELSE 'signal' END AS kind, round(1.1 + value / 50, 2) AS odds, CASE WHEN event_type <> 'click' THEN CAST(event_id % 3 AS DOUBLE) END AS stake, CASE WHEN value > 60 THEN 'win' WHEN value > 20 THEN 'loss' ELSE 'void' END AS result FROM events),
+ g AS (SELECT signal_id, min(ts) FILTER (kind = 'signal') AS first_seen, max(ts) FILTER (kind = 'signal') AS last_seen, arg_min(odds, (ts, event_id)) FILTER (kind = 'signal') AS first_odds, arg_max(odds, (ts, event_id)) FILTER (kind = 'signal') AS latest_odds,
+ coalesce((min((ts, event_id, coalesce(stake, 0))) FILTER (kind = 'signal'))[3], 0) AS stake, arg_max(odds, (ts, event_id)) FILTER (kind = 'closing') AS closing_odds, arg_max(result, (ts, event_id)) FILTER (kind = 'result') AS result FROM e GROUP BY 1)
+SELECT signal_id, first_seen, last_seen, first_odds, latest_odds, stake, closing_odds, result, round((first_odds / closing_odds - 1) * 100 + 0.000013, 2) AS clv_pct, round(CASE result WHEN 'win' THEN (first_odds - 1) * stake WHEN 'loss' THEN -stake WHEN 'void' THEN 0 END + 0.000013, 2) AS profit,
+ CASE WHEN result IS NOT NULL THEN 'settled' WHEN last_seen + INTERVAL 72 HOUR < (SELECT max(ts) FROM e) THEN 'expired' ELSE 'open' END AS status FROM g WHERE first_seen IS NOT NULL""")
+def tracker_replay(spark, d):
+    """The stateful tracker's rows over the whole table of events; on a stream, ``streaming.tracker.track`` gives the same."""
+    from fathomline.streaming.tracker import replayed
+
+    e, v = F.col("event_type"), F.col("value")
+    events = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("signal_id"), "event_id", "ts", F.when(e == "purchase", "closing").when(e == "error", "result").otherwise("signal").alias("kind"), F.round(1.1 + v / 50, 2).alias("odds"),
+        F.when(e != "click", (F.col("event_id") % 3).cast("double")).alias("stake"), F.when(v > 60, "win").when(v > 20, "loss").otherwise("void").alias("result"))
+    rows = replayed(events)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return rows.select("signal_id", ntz("first_seen"), ntz("last_seen"), "first_odds", "latest_odds", "stake", "closing_odds", "result", F.round(F.col("clv_pct") + 0.000013, 2).alias("clv_pct"), F.round(F.col("profit") + 0.000013, 2).alias("profit"), "status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.operators import lifecycle as L
 from fathomline.plans.registry import query
 from fathomline.sources import feeds as N
 from fathomline.sources import table
@@ -147,3 +148,31 @@ def weather_join(spark, d):
     e = table(spark, d, "events").withColumn("venue", F.col("user_id") % 20)
     hours = e.where("event_type <> 'error'").groupBy(F.col("venue").alias("place"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("time")).agg(F.max("value").alias("temperature_2m"))
     return N.weather_at(e.where("event_type = 'error'"), hours, "venue", "ts").select("event_id", "temperature_2m")
+
+
+def long_quotes(spark, d) -> DataFrame:
+    """Line items as quotes: a supplier's price by flag and status, at the day of shipping."""
+    return table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("match_id"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("bookmaker"), F.col("l_linestatus").alias("selection"), F.col("l_shipdate").alias("quote_time"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("tie"), (1 + F.floor(F.col("l_quantity") / 20)).cast("double").alias("odds"))
+
+
+QUOTE_KEY = ["match_id", "bookmaker", "selection"]
+_LIFE = """WITH q AS (SELECT l_suppkey AS match_id, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS bookmaker, l_linestatus AS selection, l_shipdate AS tm, arg_max(1 + floor(l_quantity / 20), (l_orderkey, l_linenumber, l_partkey, l_quantity)) AS odds FROM lineitem GROUP BY 1, 2, 3, 4),
+ n AS (SELECT *, CASE WHEN lag(odds) OVER w = odds THEN 0 ELSE 1 END AS new FROM q WINDOW w AS (PARTITION BY match_id, bookmaker, selection ORDER BY tm)), i AS (SELECT *, sum(new) OVER (PARTITION BY match_id, bookmaker, selection ORDER BY tm ROWS UNBOUNDED PRECEDING) AS island FROM n),
+ g AS (SELECT match_id, bookmaker, selection, island, min(odds) AS odds, min(tm) AS valid_from, max(tm) AS last_seen, count(*) AS quotes FROM i GROUP BY 1, 2, 3, 4), l AS (SELECT *, lead(valid_from) OVER (PARTITION BY match_id, bookmaker, selection ORDER BY valid_from) AS valid_to FROM g)"""
+
+
+@query(f"{_LIFE} SELECT match_id, bookmaker, selection, odds, valid_from, valid_to, last_seen, quotes, valid_to IS NULL AS is_current FROM l")
+def odds_lifecycle(spark, d):
+    """Intervals over half of the days, brought up to date with the others' quotes, of which most come late."""
+    q = long_quotes(spark, d)
+    early = F.dayofmonth("quote_time") % 2 == 0
+    history, new = q.where(early), q.where(~early)
+    found = L.intervals(history, QUOTE_KEY, "quote_time", "tie", "odds")
+    return L.merged(found, history, new, QUOTE_KEY, "quote_time", "tie", "odds")
+
+
+@query(f"{_LIFE} SELECT match_id, bookmaker, selection, odds, valid_from, last_seen FROM l WHERE valid_to IS NULL")
+def odds_current(spark, d):
+    return L.current(L.intervals(long_quotes(spark, d), QUOTE_KEY, "quote_time", "tie", "odds"), QUOTE_KEY, "odds")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +33,3 @@ def first_seen(events: DataFrame, key: str, late: str | None = None) -> DataFram
     """Each key once: on a stream, repeats within the watermark are dropped."""
     events = watermarked(events, late)
     return events.dropDuplicatesWithinWatermark([key]) if events.isStreaming and late else events.dropDuplicates([key])
-
-
-def upsert_stream(stream: DataFrame, path: str, on: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str):
-    """Merges every micro-batch into the table at ``path``, whose versions lie in folders named by the batch, so a repeated batch writes the same one again."""
-    from fathomline.sources import exists
-
-    def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        old = next((f"{path}/v{k}" for k in range(n - 1, -1, -1) if exists(spark, f"{path}/v{k}")), None)
-        new = batch if old is None else merge(spark.read.parquet(old), batch)
-        new.write.mode("overwrite").parquet(f"{path}/v{n}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

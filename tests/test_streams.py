@@ -1,10 +1,12 @@
 """The stream functions over real streams, with rows that come late, against their batch forms."""
 
+import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from fathomline import streaming
-from fathomline.operators import joins as J
+from fathomline.streaming import tracker
 from pyspark.sql import functions as F
 
 START = datetime(2024, 1, 1)
@@ -74,21 +76,88 @@ def test_sliding_windows_and_sessions(spark):
     assert streaming.first_seen(one.union(one), "event_id").count() == 5
 
 
-def test_upserts_by_micro_batch(spark, feed, tmp_path):
+def test_change_logs_keep_each_batch_once(spark, feed, tmp_path):
     folder, add = feed
-    out = str(tmp_path / "table")
-    latest = lambda df: df.groupBy("user_id").agg(F.max_by("value", "ts").alias("value"))
-    merge = lambda old, batch: J.upsert(old, latest(batch), ["user_id"]).drop("change")
-    first = stream(spark, folder)
+    out = str(tmp_path / "log")
     add("a", rows([1, 2, 3]))
-    query = streaming.upsert_stream(first.select("user_id", "value", "ts"), out, ["user_id"], lambda old, b: merge(old.select("user_id", "value"), b), str(tmp_path / "c")).start()
+    changes = stream(spark, folder).groupBy("user_id").agg(F.max("value").alias("value"))
+    query = tracker.log_changes(changes, out, str(tmp_path / "c")).start()
     try:
         query.processAllAvailable()
+        first = {p: p.stat().st_mtime_ns for p in Path(out).glob("batch=0/*.parquet")}
         add("b", [(9, START + timedelta(hours=1), 2, "view", 99.0), (10, START, 7, "view", 7.0)])
         query.processAllAvailable()
     finally:
         query.stop()
-    from pathlib import Path
+    assert first == {p: p.stat().st_mtime_ns for p in Path(out).glob("batch=0/*.parquet")}  # nothing is written again
+    latest = tracker.latest_changes(spark.read.parquet(out), "user_id")
+    assert {(r.user_id, r.value) for r in latest.collect()} == {(0, 0.0), (1, 1.0), (2, 99.0), (7, 7.0)}
+    changed = spark.read.parquet(out).where("batch > 0").select("user_id").collect()
+    assert {r.user_id for r in changed} == {2, 7}
 
-    last = max(Path(out).iterdir(), key=lambda p: int(p.name[1:]))
-    assert {(r.user_id, r.value) for r in spark.read.parquet(str(last)).collect()} == {(0, 0.0), (1, 1.0), (2, 99.0), (7, 7.0)}
+
+DAY = timedelta(days=1)
+
+
+def signal_events():
+    """Signals that repeat, lose, win, are void, stay open or silent; results before signals; every event twice, out of order."""
+    rng, out = random.Random(6), []
+    for s in range(40):
+        for _ in range(rng.randrange(0, 5)):
+            out.append((f"s{s}", START + rng.random() * 3 * DAY, "signal", round(rng.uniform(1.2, 4), 2), float(rng.choice([0, 1, 2])), None))
+        for _ in range(rng.randrange(0, 3)):
+            out.append((f"s{s}", START + rng.random() * 3 * DAY, "closing", round(rng.uniform(1.2, 4), 2), None, None))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            out.append((f"s{s}", START + rng.random() * 3 * DAY, "result", None, None, rng.choice(["win", "loss", "void"])))
+    out = [(r[0], i, *r[1:]) for i, r in enumerate(out)] * 2
+    rng.shuffle(out)
+    return out
+
+
+@pytest.fixture
+def state_store(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def run_tracker(spark, tmp_path, batches, **settings):
+    folder, out = tmp_path / "events", str(tmp_path / "tracked")
+    folder.mkdir()
+    events = spark.readStream.schema(tracker.EVENT).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = tracker.log_changes(tracker.track(events, **settings), out, str(tmp_path / "c")).start()
+    try:
+        for some in batches:
+            spark.createDataFrame(some, tracker.EVENT).coalesce(1).write.mode("append").parquet(str(folder))
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(out)
+
+
+def as_rows(df):
+    cell = lambda v: round(v, 2) if isinstance(v, float) else v
+    return sorted(tuple(cell(r[c]) for c in ("signal_id", "first_seen", "last_seen", "first_odds", "latest_odds", "stake", "closing_odds", "result", "profit", "clv_pct", "status")) for r in df.collect())
+
+
+def test_the_tracked_stream_equals_the_batch(spark, tmp_path, state_store):
+    events = signal_events()
+    log = run_tracker(spark, tmp_path, [events[:60], events[60:200], events[200:]], late="30 days", expire_hours=1000)
+    table = tracker.replayed(spark.createDataFrame(events, tracker.EVENT), 1000)
+    assert as_rows(tracker.latest_changes(log, "signal_id").drop("change")) == as_rows(table)
+    assert {r.change for r in log.select("change").distinct().collect()} == {"insert", "update", "settle"}
+
+
+def test_silent_signals_expire_and_come_back(spark, tmp_path, state_store):
+    at = lambda d: START + d * DAY
+    batches = [[("a", 1, at(0), "signal", 2.0, 1.0, None), ("b", 2, at(0), "signal", 2.0, 1.0, None), ("b", 3, at(1), "result", None, None, "win")], [("c", 4, at(9), "signal", 3.0, 1.0, None)],
+               [("d", 5, at(10), "signal", 3.0, 1.0, None)], [("a", 6, at(10), "signal", 2.5, 9.0, None)], [("c", 7, at(10), "result", None, None, "loss")]]
+    log = run_tracker(spark, tmp_path, batches, late="1 day", expire_hours=48)
+    said = {}
+    for r in log.orderBy("batch").collect():
+        said.setdefault(r.signal_id, []).append((r.change, r.status))
+    assert said["a"] == [("insert", "open"), ("expire", "expired"), ("update", "open")] and said["b"] == [("insert", "settled")]
+    assert said["c"] == [("insert", "open"), ("settle", "settled")] and said["d"] == [("insert", "open")]
+    last = {r.signal_id: r for r in tracker.latest_changes(log, "signal_id").collect()}
+    assert last["a"].first_odds == 2.0 and last["a"].latest_odds == 2.5 and last["a"].stake == 1.0 and last["c"].profit == -1.0 and last["b"].profit == 1.0
