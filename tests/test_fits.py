@@ -3,7 +3,7 @@
 import pytest
 from fathomline.functions import names as M
 from fathomline.functions import scalars as S
-from fathomline.plans.models import blend_parameters, goal_rates, result_classes, tree_market, variant_backtest
+from fathomline.plans.models import blend_parameters, goal_rates, result_classes, tree_market
 from pyspark.sql import functions as F
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -29,10 +29,6 @@ def test_blend_finds_the_better_model(spark):
     assert p["high"] > 0.7 and p["low"] < 0.35 and p["strong"] > p["close"] + 0.02
 
 
-def test_variants(spark):
-    assert {r.variant for r in variant_backtest(spark, SMALL).collect()} <= {"raw", "drawn", "even"}
-
-
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
