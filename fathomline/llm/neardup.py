@@ -1,21 +1,24 @@
 """SimHash near-duplicates by an inverted index over byte positions with count filtering.
 
-A fingerprint has eight positional bytes, taken as a ring. The index lists fingerprints
-by every window of three adjacent positional bytes: eight lists for each. Fingerprints
-that differ in at most two bits differ in at most two bytes; what is left of the ring
-holds at least two whole windows. So the matches of every pair are tallied over all
-lists, pairs that reach the guaranteed two are kept, and a bit count verifies them.
-
-A list of many different fingerprints isn't paired up: its members go to a second
-index, by every fingerprint at most one bit away (65 for 64 bits). Two fingerprints
-differ in at most two bits exactly if they meet there, so each links to the least
-member of every entry, and the work grows with the members, not with their pairs.
+A fingerprint has eight positional bytes. Two that differ in at most two bits differ in
+at most two bytes and share six at least. The index lists each fingerprint under all 28
+choices of six positional bytes, so such a pair meets in one list or more. The
+positional bytes that a pair shares are tallied, pairs that reach the guaranteed six
+are kept, and a bit count verifies them.
+
+Members of a list differ in two bytes alone. A list is never paired up: its members
+meet at the values of these two bytes that are at most one bit from their own, 17 each,
+and two of them are within two bits exactly if they meet so. At most 17 can meet at one
+value, and a fingerprint has 2,080 neighbours at most, so the work grows with the
+fingerprints at any size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from fathomline.llm.common import by_name, durable, fields_of, fresh, only, smal
 from fathomline.llm.graph import components
 
 BITS = 2
-#: Bytes of a window, and how many of the eight windows any two bytes leave whole at least.
-WINDOW, GUARANTEED = 3, 2
+#: Positional bytes that a list's members share, and so what a pair must reach.
+GUARANTEED = 6
 #: Set bits of every byte value, by bit.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -66,48 +69,45 @@ def fingerprints(docs: DataFrame, keep: list[str], out: str = "fp") -> DataFrame
 
 
 def postings(prints: DataFrame) -> DataFrame:
-    """(slot, bytes, fp): every distinct fingerprint of ``prints`` (fp) under each window of its positional bytes."""
+    """(slot, bytes, rest, fp): every distinct fingerprint of ``prints`` (fp) under each six of its positional bytes; ``rest`` holds the other two."""
     fp = F.col("fp")
-    return prints.select("fp", F.inline(F.array(*[
-        F.struct(
-            F.lit(k).cast("byte").alias("slot"),
-            F.shiftrightunsigned(F.shiftleft(fp, 8 * k).bitwiseOR(F.shiftrightunsigned(fp, 64 - 8 * k)) if k else fp, 64 - 8 * WINDOW).cast("int").alias("bytes"))
-        for k in range(8)])))
+    rows = []
+    for slot, (j, k) in enumerate(combinations(range(8), 2)):
+        mask = (255 << 8 * j) | (255 << 8 * k)
+        rest = F.shiftrightunsigned(fp, 8 * j).bitwiseAND(F.lit(255)) + 256 * F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255))
+        rows.append(F.struct(F.lit(slot).cast("byte").alias("slot"), fp.bitwiseAND(F.lit(signed(~mask))).alias("bytes"), rest.cast("int").alias("rest")))
+    return prints.select("fp", F.inline(F.array(*rows)))
 
 
-def tallied(index: DataFrame, least: int = GUARANTEED) -> DataFrame:
-    """(u, v, matches): the pairs of fingerprints that meet in at least ``least`` lists of ``index`` (slot, bytes, fp)."""
-    x, y = index.alias("x"), index.alias("y")
-    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.fp") < F.col("y.fp")))
-    return met.groupBy(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).agg(F.count(F.lit(1)).alias("matches")).where(F.col("matches") >= least)
+def signed(x: int) -> int:
+    return (x & (1 << 64) - 1) - (1 << 64) * ((x >> 63) & 1)
 
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """(u, v) of the pairs that differ in at most two bits."""
-    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v")
+def met(index: DataFrame) -> DataFrame:
+    """(u, v): pairs of fingerprints that share a list of ``index`` and lie within two bits of each other there."""
+    lists = index.groupBy("slot", "bytes").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("slot", "bytes")
+    shared = durable(index.join(lists, ["slot", "bytes"], "left_semi"), "byte-lists")
+    near = shared.select("slot", "bytes", "fp", F.explode(F.array(F.col("rest"), *[F.col("rest").bitwiseXOR(F.lit(1 << k)) for k in range(16)])).alias("at"))
+    x, y = near.alias("x"), near.alias("y")
+    same = reduce(lambda p, q: p & q, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("slot", "bytes", "at")])
+    return x.join(y, same & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
+
 
+def tallied(pairs: DataFrame, least: int = GUARANTEED) -> DataFrame:
+    """(u, v, matches): the pairs that share at least ``least`` positional bytes."""
+    differing = F.col("u").bitwiseXOR(F.col("v"))
+    matches = sum((F.when(F.shiftrightunsigned(differing, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
+    return pairs.withColumn("matches", matches).where(F.col("matches") >= least)
 
-def stars(prints: DataFrame) -> DataFrame:
-    """(u, v): each of the distinct fingerprints (fp) with the least one at every meeting place, a fingerprint one bit from both at most."""
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(v - (1 << 64) if (v := 1 << k) >> 63 else v)) for k in range(64)])
-    entries = prints.select(F.explode(near).alias("near"), "fp")
-    least = entries.groupBy("near").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where(F.col("u") < F.col("most"))
-    return entries.join(least, "near").where(F.col("fp") != F.col("u")).select("u", F.col("fp").alias("v")).distinct()
 
+def verified(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that differ in at most two bits."""
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v")
 
-def links(prints: DataFrame, long_list: int = 16) -> DataFrame:
-    """(u, v) over the distinct fingerprints of ``prints`` (fp): pairs by tallied matches, and stars for members of long lists.
 
-    Every pair within two bits is linked directly or through the least member of an
-    entry; no other pair is. A pair of which both lie in some long list is found by the
-    stars; any other pair has all its matches in short lists. At ``long_list`` members
-    the pairs of a list cost as much as the members' 65 entries.
-    """
-    index = postings(prints)
-    lists = index.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    index = durable(index.join(lists, ["slot", "bytes"]), "byte-index")
-    crowded = index.where(F.col("n") > long_list).select("fp").distinct()
-    return verified(tallied(index.where(F.col("n") <= long_list))).union(stars(crowded))
+def links(prints: DataFrame) -> DataFrame:
+    """(u, v): all pairs of the distinct fingerprints of ``prints`` (fp) that differ in at most two bits."""
+    return verified(tallied(met(postings(prints))))
 
 
 def group_prints(found: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators' methods: what is tallied, ordered, skipped, grown and merged, and how well models do on rows they didn't see."""
 
 import random
+from itertools import combinations
 import re
 import struct
 import time
@@ -70,18 +71,27 @@ def test_matches_are_tallied(spark):
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(40)]
     prints += [p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in prints]  # within two bits
-    prints += [p ^ 0xFF00FF00FF << 8 * rng.randrange(3) for p in prints[:20]]  # some bytes alike, few windows
+    prints += [p ^ rng.getrandbits(16) << 8 * rng.randrange(7) for p in prints[:20]]  # six bytes alike, many bits not
     prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
-    windows = {p: [int.from_bytes(bytes((p & (1 << 64) - 1).to_bytes(8, "big")[(k + j) % 8] for j in range(3)), "big") for k in range(8)] for p in prints}
+    octets = {p: (p & (1 << 64) - 1).to_bytes(8, "little") for p in prints}
     index = neardup.postings(spark.createDataFrame([(p,) for p in prints], "fp long"))
-    assert {(r.slot, r.bytes, r.fp) for r in index.collect()} == {(k, w, p) for p, ws in windows.items() for k, w in enumerate(ws)}
-    shared = {(a, b): sum(x == y for x, y in zip(windows[a], windows[b], strict=True)) for a in prints for b in prints if a < b}
-    for least in (1, 2):
-        assert {(r.u, r.v): r.matches for r in neardup.tallied(index, least).collect()} == {p: n for p, n in shared.items() if n >= least}
+    pairs = list(combinations(range(8), 2))
+    want = {(s, bytes(0 if i in (j, k) else x for i, x in enumerate(o)), o[j] + 256 * o[k], p) for p, o in octets.items() for s, (j, k) in enumerate(pairs)}
+    assert {(r.slot, (r.bytes & (1 << 64) - 1).to_bytes(8, "little"), r.rest, r.fp) for r in index.collect()} == want
+    shared = {(a, b): sum(x == y for x, y in zip(octets[a], octets[b], strict=True)) for a in prints for b in prints if a < b}
+    every = spark.createDataFrame(list(shared), "u long, v long")
+    for least in (1, 6):
+        assert {(r.u, r.v): r.matches for r in neardup.tallied(every, least).collect()} == {p: n for p, n in shared.items() if n >= least}
     near = {p for p in shared if ((p[0] ^ p[1]) & (1 << 64) - 1).bit_count() <= 2}
-    assert near and all(shared[p] >= neardup.GUARANTEED for p in near)
-    assert any(n == 1 for n in shared.values())  # which the tally keeps from being verified
-    assert {(r.u, r.v) for r in neardup.verified(neardup.tallied(index)).collect()} == near
+    assert near and all(shared[p] >= neardup.GUARANTEED for p in near) and any(shared[p] >= neardup.GUARANTEED for p in set(shared) - near)
+    assert {(r.u, r.v) for r in neardup.met(index).collect()} >= near
+    assert {(r.u, r.v) for r in neardup.links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()} == near
+
+
+def test_a_full_list_stays_linear(spark):
+    """All values of two bytes beside six equal ones: 16 * n pairs by one bit and 120 * n by two, of n * n / 2."""
+    prints = spark.range(1 << 12).select((F.col("id") % 64 + F.shiftleft(F.floor(F.col("id") / 64), 32)).alias("fp"))
+    assert neardup.links(prints).count() == (1 << 12) * (12 + 66) // 2
 
 
 def test_plan_does_not_grow_with_counts():
