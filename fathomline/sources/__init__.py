@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share (``spark.checkpoint.dir``)."""
+    from fathomline.operators.entities import shared_checkpoints
+
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, columns: list[str] | None = None, day_format: str = "yyyy-MM-dd") -> DataFrame:
     """A CSV file with a header under ``schema``; only ``columns`` where given, and only those are parsed.
 
@@ -69,11 +78,11 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON document, or several, under ``schema``; a missing file is an empty table."""
+def read_json(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """JSON under ``schema``, a document or an array of them a file, or with ``lines`` a document a line; a missing file is an empty table."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", not lines).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_params(spark: SparkSession, params: dict, path: str) -> None:

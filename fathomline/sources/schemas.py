@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SCHEMAS = {
@@ -40,5 +41,25 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def checked(df: DataFrame, name: str) -> list[str]:
-    """The columns of the table that ``df`` lacks; types aren't looked at."""
+    """The columns of the table that ``df`` lacks."""
     return [f.name for f in schema_of(name) if f.name not in df.columns]
+
+
+def faults(df: DataFrame, name: str) -> DataFrame:
+    """(column, fault, wanted, found): columns that are missing, too many or of another type than the table's, and key columns that hold nulls or don't tell rows apart.
+
+    Types are read from the plan; keys are counted, by one aggregate over the groups.
+    """
+    wanted = {f.name: f.dataType.simpleString() for f in schema_of(name)}
+    own = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = [(c, "missing", t, None) for c, t in wanted.items() if c not in own] + [(c, "extra", None, t) for c, t in own.items() if c not in wanted]
+    rows += [(c, "type", t, own[c]) for c, t in wanted.items() if c in own and own[c] != t]
+    found = df.sparkSession.createDataFrame(rows, "column string, fault string, wanted string, found string")
+    keys = [c for c in KEYS[name] if c in own]
+    if len(keys) < len(KEYS[name]):
+        return found
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sums = counts.agg(F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("_again"), *[F.sum(F.when(F.col(c).isNull(), F.col("_n")).otherwise(0)).alias(c) for c in keys])
+    said = [F.struct(F.lit(c).alias("column"), F.lit("null key").alias("fault"), F.lit("0").alias("wanted"), F.col(c).cast("string").alias("found")) for c in keys]
+    said.append(F.struct(F.lit(",".join(keys)).alias("column"), F.lit("repeated key").alias("fault"), F.lit("0").alias("wanted"), F.col("_again").cast("string").alias("found")))
+    return found.unionByName(sums.select(F.inline(F.array(*said))).where("found > 0"))
