@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import durable
+from fathomline.llm.common import discard, durable
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two steps that hang nodes below smaller ones (large star, small star)
     until nothing changes; the rounds needed grow with the logarithm of the longest
-    path. Every round is written to the shared folder. Loops, repeated edges and nulls
+    path. Every round is written to the shared folder, and the one before removed. Loops, repeated edges and nulls
     are dropped; a node without an edge isn't returned.
     """
     pairs = durable(
@@ -26,7 +26,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = durable(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = durable(small.union(least).distinct(), "small-star")
+        old, pairs = pairs, durable(small.union(least).distinct(), "small-star")
+        discard(old)
+        discard(large)
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break

@@ -234,19 +234,31 @@ def by_list(index: DataFrame, work, schema: str) -> DataFrame:
     """``work`` over whole lists of ``index`` (h, same, n, ...), each sorted by n, then same: gets a batch's columns as arrays, yields record batches."""
 
     def run(batches):
-        held = None
+        held = []  # the parts of the last list, which may go on in the next batch; put together once, when it ends
+
+        def whole():
+            return [np.concatenate(x) for x in zip(*held, strict=True)]
+
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on in the next batch
-            if cut:
+            if held and now[0][0] != held[-1][0][0]:
+                yield from work(*whole())
+                held = []
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if cut and held:
+                first = int(np.searchsorted(now[0], now[0][0], side="right"))
+                held.append([c[:first] for c in now])
+                yield from work(*whole())
+                held = []
+                if cut > first:
+                    yield from work(*[c[first:cut] for c in now])
+            elif cut:
                 yield from work(*[c[:cut] for c in now])
-            held = [c[cut:] for c in now]
-        if held is not None:
-            yield from work(*held)
+            held.append([c[cut:] for c in now])
+        if held:
+            yield from work(*whole())
 
     return index.repartition("h").sortWithinPartitions("h", "n", "same").mapInArrow(run, schema)
 
