@@ -294,11 +294,11 @@ def upsert_preserving(spark, d):
 
 
 @query("""
-WITH p AS (SELECT p_brand AS key, count(*) AS n FROM part WHERE p_size > 5 GROUP BY 1), l AS (SELECT p_brand AS key, count(*) AS n FROM part WHERE p_size > 49 GROUP BY 1), s AS (SELECT p_brand AS key, count(*) AS n FROM part WHERE p_retailprice > 1850 GROUP BY 1), k AS (SELECT key FROM p UNION SELECT key FROM l UNION SELECT key FROM s)
+WITH p AS (SELECT p_brand AS key, count(*) AS n FROM part GROUP BY 1), l AS (SELECT 'Brand#' || s_nationkey AS key, count(*) AS n FROM supplier GROUP BY 1), s AS (SELECT 'Brand#' || (c_nationkey + 10) AS key, count(*) AS n FROM customer GROUP BY 1), k AS (SELECT key FROM p UNION SELECT key FROM l UNION SELECT key FROM s)
 SELECT key, coalesce(p.n, 0) AS model_rows, coalesce(l.n, 0) AS odds_rows, coalesce(s.n, 0) AS tracker_rows, CASE WHEN p.n IS NULL THEN 'no_model' WHEN l.n IS NULL THEN 'no_odds' WHEN s.n IS NULL THEN 'no_tracker' ELSE 'complete' END AS status FROM k LEFT JOIN p USING (key) LEFT JOIN l USING (key) LEFT JOIN s USING (key)""")
 def market_availability(spark, d):
-    p = table(spark, d, "part").withColumn("key", F.col("p_brand"))
-    return P.availability({"model": p.where("p_size > 5"), "odds": p.where("p_size > 49"), "tracker": p.where("p_retailprice > 1850")}, "key")
+    brand = lambda t, c: table(spark, d, t).select(F.concat(F.lit("Brand#"), c.cast("string")).alias("key"))
+    return P.availability({"model": table(spark, d, "part").select(F.col("p_brand").alias("key")), "odds": brand("supplier", F.col("s_nationkey")), "tracker": brand("customer", F.col("c_nationkey") + 10)}, "key")
 
 
 _SPECS = [("goals", 0.5, 100.0, 0.30), ("shots", 1.5, 300.0, 1.40), ("cards", 0.5, 0.0, 0.20), ("shots", 2.5, 900.0, 1.40)]

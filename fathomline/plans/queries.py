@@ -140,14 +140,13 @@ def null_safe_join(spark, d):
 
 
 @query("""
-WITH a AS (SELECT l_partkey AS key, count(*) AS sold FROM lineitem WHERE l_quantity > 45 GROUP BY 1), b AS (SELECT l_partkey AS key, max(l_discount) AS best FROM lineitem WHERE l_discount > 0.09 GROUP BY 1),
- c AS (SELECT p_partkey AS key, p_size AS size FROM part WHERE p_size > 25)
+WITH a AS (SELECT 2 * l_partkey AS key, count(*) AS sold FROM lineitem GROUP BY 1), b AS (SELECT 3 * l_suppkey AS key, max(l_discount) AS best FROM lineitem GROUP BY 1), c AS (SELECT p_partkey AS key, p_size AS size FROM part)
 SELECT key, sold, best, size FROM a FULL JOIN b USING (key) FULL JOIN c USING (key)""")
 def outer_fold(spark, d):
     li = table(spark, d, "lineitem")
-    a = li.where("l_quantity > 45").groupBy(F.col("l_partkey").alias("key")).agg(F.count(F.lit(1)).alias("sold"))
-    b = li.where("l_discount > 0.09").groupBy(F.col("l_partkey").alias("key")).agg(F.max("l_discount").alias("best"))
-    c = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))
+    a = li.groupBy((2 * F.col("l_partkey")).alias("key")).agg(F.count(F.lit(1)).alias("sold"))
+    b = li.groupBy((3 * F.col("l_suppkey")).alias("key")).agg(F.max("l_discount").alias("best"))
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))
     return A.outer_fold([a, b, c], ["key"])
 
 
@@ -257,27 +256,27 @@ def drawdown(spark, d):
     return out.select("o_custkey", r4("total"), r4("peak"), r4("max_drawdown"))
 
 
-_PROBS = "SELECT (l_orderkey * 37 + l_linenumber * 11) % 1000 / 1000.0::DOUBLE AS prob, l_returnflag = 'R' AS hit FROM lineitem"
+_PROBS = "SELECT (l_orderkey * 37 + l_linenumber * 11) % 750 / 1000.0::DOUBLE AS prob, l_returnflag = 'R' AS hit FROM lineitem"
 
 
 def _probs(spark, d):
     return table(spark, d, "lineitem").select(
-        (((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 1000) / 1000.0).alias("prob"), (F.col("l_returnflag") == "R").alias("hit"))
+        (((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 750) / 1000.0).alias("prob"), (F.col("l_returnflag") == "R").alias("hit"))  # none in the last bins
 
 
 _BINS = f"""SELECT b AS bin, b / 10 AS low, (b + 1) / 10 AS high, count(prob) AS n, avg(prob) AS conf, avg(hit::INT) AS acc, abs(avg(prob) - avg(hit::INT)) AS gap
- FROM (SELECT CAST(unnest(range(10)) AS INTEGER) AS b) LEFT JOIN ({_PROBS} WHERE (l_orderkey * 37 + l_linenumber * 11) % 1000 < 750) ON CAST(least(floor(prob * 10), 9) AS INTEGER) = b GROUP BY b"""
+ FROM (SELECT CAST(unnest(range(10)) AS INTEGER) AS b) LEFT JOIN ({_PROBS}) ON CAST(least(floor(prob * 10), 9) AS INTEGER) = b GROUP BY b"""
 
 
 @query(f"SELECT bin, low, high, n, round(conf, 6) AS conf, round(acc, 6) AS acc, round(gap, 6) AS gap FROM ({_BINS})")
 def calibration_bins(spark, d):
-    out = A.calibration_bins(_probs(spark, d).where("prob < 0.75"), "prob", "hit")
+    out = A.calibration_bins(_probs(spark, d), "prob", "hit")
     return out.select("bin", "low", "high", "n", *[F.round(c, 6).alias(c) for c in ("conf", "acc", "gap")])
 
 
 @query(f"SELECT round(sum(n * gap) / sum(n), 6) AS ece, round(max(gap), 6) AS largest, CAST(sum(n) AS BIGINT) AS n FROM ({_BINS})")
 def calibration_error(spark, d):
-    out = A.calibration_error(A.calibration_bins(_probs(spark, d).where("prob < 0.75"), "prob", "hit"))
+    out = A.calibration_error(A.calibration_bins(_probs(spark, d), "prob", "hit"))
     return out.select(F.round("ece", 6).alias("ece"), F.round("largest", 6).alias("largest"), "n")
 
 
@@ -385,23 +384,23 @@ def union_by_name(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("SELECT c_nationkey AS key FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier")
+@query("SELECT 2 * c_nationkey AS key FROM customer UNION SELECT s_nationkey FROM supplier")
 def set_union_keys(spark, d):
-    return table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("key")).union(table(spark, d, "supplier").select("s_nationkey")).distinct()
+    return table(spark, d, "customer").select((2 * F.col("c_nationkey")).alias("key")).union(table(spark, d, "supplier").select("s_nationkey")).distinct()
 
 
-@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40")
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT 2 * l_partkey FROM lineitem")
 def set_except(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("key")).exceptAll(table(spark, d, "lineitem").where("l_quantity > 40").select("l_partkey").distinct()).distinct()
+    return table(spark, d, "part").select(F.col("p_partkey").alias("key")).exceptAll(table(spark, d, "lineitem").select(2 * F.col("l_partkey")).distinct()).distinct()
 
 
 @query("""
 SELECT o_custkey, o_orderkey, src FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY src, o_orderkey) AS r FROM
- (SELECT o_custkey, o_orderkey, 1 AS src FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey, o_orderkey, 2 FROM orders WHERE o_orderstatus = 'O')) WHERE r = 1""")
+ (SELECT o_custkey, o_orderkey, 2 AS src FROM orders UNION ALL SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal > 0 THEN 1 ELSE 3 END FROM customer)) WHERE r = 1""")
 def union_distinct_on(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    both = o.where("o_orderstatus = 'P'").withColumn("src", F.lit(1)).union(o.where("o_orderstatus = 'O'").withColumn("src", F.lit(2))).drop("o_orderstatus")
-    return V.best_per_key(both, ["o_custkey"], [F.col("src"), F.col("o_orderkey")])
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit(2).alias("src"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long"), F.when(F.col("c_acctbal") > 0, 1).otherwise(3))
+    return V.best_per_key(o.union(c), ["o_custkey"], [F.col("src"), F.col("o_orderkey")])
 
 
 @query("""
@@ -485,12 +484,11 @@ def piecewise_blend(spark, d):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('|', CASE WHEN l_discount < 0.02 THEN 'small discount' END, CASE WHEN l_quantity > 45 THEN 'bulk' END, CASE WHEN l_tax > 0.06 THEN 'high tax' END) AS reasons
-FROM lineitem WHERE l_discount < 0.02 OR l_quantity > 45""")
+SELECT *, reasons = '' AS kept FROM (SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('|', CASE WHEN l_discount < 0.02 THEN 'small discount' END, CASE WHEN l_quantity > 45 THEN 'bulk' END, CASE WHEN l_tax > 0.06 THEN 'high tax' END) AS reasons FROM lineitem)""")
 def tag_filter(spark, d):
-    li = table(spark, d, "lineitem").where("l_discount < 0.02 OR l_quantity > 45")
     why = S.reasons((F.col("l_discount") < 0.02, "small discount"), (F.col("l_quantity") > 45, "bulk"), (F.col("l_tax") > 0.06, "high tax"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", why.alias("reasons"))
+    tagged = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", why.alias("reasons"))
+    return tagged.withColumn("kept", F.col("reasons") == "")
 
 
 @query("""
