@@ -61,7 +61,7 @@ def open_close_pivot(spark, d):
 
 
 _E = """SELECT event_id // 40 AS match_id, event_id % 40 AS seq, CAST(user_id % 2 AS VARCHAR) AS team, CAST(user_id AS VARCHAR) AS player, CAST(event_id % 90 AS INTEGER) AS minute, CAST(event_id % 60 AS INTEGER) AS second,
- CASE event_type WHEN 'view' THEN 'Pass' WHEN 'click' THEN 'Shot' WHEN 'signup' THEN 'Substitution' WHEN 'purchase' THEN 'Foul Committed' ELSE 'Bad Behaviour' END AS kind, CAST(event_id % 4 AS INTEGER) AS x, value, CAST((user_id + 2) % 150 AS VARCHAR) AS other FROM events"""
+ CASE event_type WHEN 'view' THEN 'Pass' WHEN 'click' THEN 'Shot' WHEN 'signup' THEN 'Substitution' WHEN 'purchase' THEN 'Foul Committed' ELSE CASE WHEN value > 50 THEN 'Foul Won' ELSE 'Bad Behaviour' END END AS kind, CAST(event_id % 4 AS INTEGER) AS x, value, CAST((user_id + 2) % 150 AS VARCHAR) AS other FROM events"""
 
 
 def _events(spark, d) -> DataFrame:
@@ -70,7 +70,7 @@ def _events(spark, d) -> DataFrame:
     x, named = i % 4, lambda c: F.struct(c.cast("string").alias("id"), F.concat(F.lit("N"), c.cast("string")).alias("name"))
     card = F.struct(F.struct(F.when(x == 0, "Yellow Card").when(x == 1, "Red Card").when(x == 2, "Second Yellow").alias("name")).alias("card"))
     squad = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(named((u + k * 2) % 150).alias("player"), F.struct(F.lit("Wing").alias("name")).alias("position"), k.cast("int").alias("jersey_number")))
-    kind = F.when(i % 40 < 2, "Starting XI").when(t == "view", "Pass").when(t == "click", "Shot").when(t == "signup", "Substitution").when(t == "purchase", "Foul Committed").otherwise("Bad Behaviour")
+    kind = F.when(i % 40 < 2, "Starting XI").when(t == "view", "Pass").when(t == "click", "Shot").when(t == "signup", "Substitution").when(t == "purchase", "Foul Committed").when(F.col("value") > 50, "Foul Won").otherwise("Bad Behaviour")
     e = F.struct(
         F.struct(kind.alias("name")).alias("type"), named(u % 2).alias("team"), F.when(kind != "Starting XI", named(u)).alias("player"), (i % 90).cast("int").alias("minute"), (i % 60).cast("int").alias("second"),
         F.when(kind == "Shot", F.struct(F.struct(F.when(x == 0, "Goal").when(x == 1, "Saved").otherwise("Off T").alias("name")).alias("outcome"), F.col("value").alias("statsbomb_xg"))).alias("shot"),
@@ -85,23 +85,25 @@ def _events(spark, d) -> DataFrame:
 _P = f"SELECT * FROM ({_E}) WHERE seq >= 2"
 _COUNTS = """count(*) FILTER (kind = 'Shot') AS shots, count(*) FILTER (kind = 'Shot' AND x <= 1) AS shots_on_target, count(*) FILTER (kind = 'Shot' AND x = 0) AS goals, round(coalesce(sum(value) FILTER (kind = 'Shot'), 0), 4) AS xg, count(*) FILTER (kind = 'Pass' AND x = 0) AS corners_taken,
  count(*) FILTER (kind = 'Pass' AND x = 1) AS key_passes, count(*) FILTER (kind = 'Pass' AND x = 2) AS assists, count(*) FILTER (kind = 'Foul Committed') AS fouls_committed, count(*) FILTER (kind IN ('Foul Committed', 'Bad Behaviour') AND x = 0) AS yellow_cards,
- count(*) FILTER (kind IN ('Foul Committed', 'Bad Behaviour') AND x IN (1, 2)) AS red_cards"""
+ count(*) FILTER (kind IN ('Foul Committed', 'Bad Behaviour') AND x IN (1, 2)) AS red_cards, count(*) FILTER (kind = 'Foul Won') AS fouls_won"""
 
 
 @query(f"SELECT CAST(match_id AS VARCHAR) AS match_id, team, player, {_COUNTS} FROM ({_P}) GROUP BY 1, 2, 3")
 def event_player_stats(spark, d):
-    out = N.player_stats(_events(spark, d)).drop("fouls_won")
+    out = N.player_stats(_events(spark, d))
     return out.withColumn("xg", F.round("xg", 4))
 
 
 @query(f"""
 SELECT CAST(match_id AS VARCHAR) AS match_id, count(*) FILTER (team = '0' AND kind = 'Pass' AND x = 0) AS corners_home, count(*) FILTER (team = '1' AND kind = 'Pass' AND x = 0) AS corners_away,
  count(*) FILTER (team = '0' AND kind IN ('Foul Committed', 'Bad Behaviour') AND x = 0) AS yellow_home, count(*) FILTER (team = '1' AND kind IN ('Foul Committed', 'Bad Behaviour') AND x = 0) AS yellow_away,
- count(*) FILTER (team = '0' AND kind = 'Shot') AS shots_home, count(*) FILTER (team = '1' AND kind = 'Shot') AS shots_away, count(*) FILTER (team = '0' AND kind = 'Shot' AND x <= 1) AS on_target_home, count(*) FILTER (team = '1' AND kind = 'Shot' AND x <= 1) AS on_target_away FROM ({_P}) GROUP BY 1""")
+ count(*) FILTER (team = '0' AND kind = 'Shot') AS shots_home, count(*) FILTER (team = '1' AND kind = 'Shot') AS shots_away, count(*) FILTER (team = '0' AND kind = 'Shot' AND x <= 1) AS on_target_home, count(*) FILTER (team = '1' AND kind = 'Shot' AND x <= 1) AS on_target_away,
+ count(*) FILTER (team = '0' AND kind IN ('Foul Committed', 'Bad Behaviour') AND x IN (1, 2)) AS red_home, count(*) FILTER (team = '1' AND kind IN ('Foul Committed', 'Bad Behaviour') AND x IN (1, 2)) AS red_away,
+ round(coalesce(sum(value) FILTER (team = '0' AND kind = 'Shot'), 0), 4) AS xg_home, round(coalesce(sum(value) FILTER (team = '1' AND kind = 'Shot'), 0), 4) AS xg_away FROM ({_P}) GROUP BY 1""")
 def event_match_stats(spark, d):
     events = _events(spark, d)
     home = events.select("match_id").distinct().withColumn("home_team", F.lit("0"))
-    return N.match_stats(events, home).drop("red_home", "red_away", "xg_home", "xg_away")
+    return N.match_stats(events, home).withColumns({c: F.round(c, 4) for c in ("xg_home", "xg_away")})
 
 
 @query(f"""

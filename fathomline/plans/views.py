@@ -60,15 +60,17 @@ def person_keys(spark, d):
 
 
 @query("""
-SELECT 'feed:match:' || (event_id // 40) AS match_id, 'feed:team:' || (user_id % 2) AS team_id, 'feed:player:p-' || user_id AS player_id, CAST(event_id % 90 AS INTEGER) AS minutes_played, CASE WHEN event_type = 'click' THEN CAST(event_id % 3 AS INTEGER) END AS goals, CAST(event_id % 5 AS INTEGER) AS shots, CAST(event_id % 2 AS INTEGER) AS yellow_cards, event_id FROM events""")
+SELECT 'feed:match:' || (event_id // 40) AS match_id, 'feed:team:' || (user_id % 2) AS team_id, 'feed:player:p-' || user_id AS player_id, CAST(event_id % 90 AS INTEGER) AS minutes_played, CASE WHEN event_type = 'click' THEN CAST(event_id % 3 AS INTEGER) END AS goals, CAST(event_id % 5 AS INTEGER) AS shots, CAST(event_id % 2 AS INTEGER) AS yellow_cards, event_id,
+ CASE WHEN event_type = 'click' THEN CAST(event_id % 4 AS INTEGER) END AS assists, CAST(event_id % 5 // 2 AS INTEGER) AS shots_on_target, CASE WHEN event_type <> 'error' THEN CAST(event_id % 7 AS INTEGER) END AS key_passes, CAST(event_id % 11 AS INTEGER) AS fouls_won, CAST(event_id % 13 AS INTEGER) AS red_cards FROM events""")
 def player_sheets(spark, d):
     i, u = F.col("event_id"), F.col("user_id")
     stat = F.struct(
-        F.struct((i % 90).cast("int").alias("minutes")).alias("games"), F.struct((i % 5).cast("int").alias("total")).alias("shots"), F.when(F.col("event_type") == "click", F.struct((i % 3).cast("int").alias("total"))).alias("goals"),
-        F.struct(i.cast("int").alias("committed")).alias("fouls"), F.struct((i % 2).cast("int").alias("yellow")).alias("cards"))
+        F.struct((i % 90).cast("int").alias("minutes")).alias("games"), F.struct((i % 5).cast("int").alias("total"), F.floor(i % 5 / 2).cast("int").alias("on")).alias("shots"),
+        F.when(F.col("event_type") == "click", F.struct((i % 3).cast("int").alias("total"), (i % 4).cast("int").alias("assists"))).alias("goals"), F.when(F.col("event_type") != "error", F.struct((i % 7).cast("int").alias("key"))).alias("passes"),
+        F.struct(i.cast("int").alias("committed"), (i % 11).cast("int").alias("drawn")).alias("fouls"), F.struct((i % 2).cast("int").alias("yellow"), (i % 13).cast("int").alias("red")).alias("cards"))
     player = F.struct(F.struct(F.concat(F.lit("P "), u.cast("string")).alias("name")).alias("player"), F.array(stat).alias("statistics"))
     rows = table(spark, d, "events").select(F.floor(i / 40).cast("long").alias("m"), (u % 2).cast("string").alias("team"), player.alias("p"))
     teams = rows.groupBy("m", "team").agg(F.collect_list("p").alias("players")).select("m", F.struct(F.struct(F.col("team").alias("id")).alias("team"), "players").alias("t"))
     feed = teams.groupBy("m").agg(F.to_json(F.collect_list("t")).alias("payload"))
     out = N.player_sheets(feed, "m", "payload")
-    return out.select("match_id", "team_id", "player_id", "minutes_played", "goals", "shots", "yellow_cards", F.col("fouls_committed").cast("long").alias("event_id"))
+    return out.select("match_id", "team_id", "player_id", "minutes_played", "goals", "shots", "yellow_cards", F.col("fouls_committed").cast("long").alias("event_id"), "assists", "shots_on_target", "key_passes", "fouls_won", "red_cards")
