@@ -359,29 +359,40 @@ def with_past(lists: DataFrame, back: int = 4) -> DataFrame:
     return lists.withColumns({f"b{k}": F.coalesce(F.lag("h", k).over(before), "same") for k in range(1, back + 1)})
 
 
-def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound) -> DataFrame:
-    """The pairs (u, v) of sets of ``found`` (_same, _row, text) whose similarity reaches the bound: their texts' sets are compared in full."""
+def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound, group: int = 256, few: int = 400_000) -> DataFrame:
+    """The pairs (u, v) of sets of ``found`` (_same, _row, text) whose similarity reaches the bound: their texts' sets are compared in full.
+
+    Every u's text goes to its v, and v's text there once for each ``group`` of them, so
+    that a text with very many partners is shared by several tasks. Which texts go where
+    is broadcast where it is at most ``few`` rows (about 100 bytes each); then only texts
+    that are compared move, and once.
+    """
     p, q = bound.p, bound.q
-    members = pairs.select(F.col("u").alias("_same")).union(pairs.select(F.col("v").alias("_same"))).distinct()
-    rows = found.select("_same", "_row").join(members, "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row")).select("_row")
-    texts = durable(only(found.select("_row", "_same", "text"), durable(rows, "met-rows"), "_row", keep=True).select("_same", "text"), "met-texts")
-    x = texts.select(F.col("_same").alias("u"), F.col("text").alias("x"))
-    y = texts.select(F.col("_same").alias("v"), F.col("text").alias("y"))
+    parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
+    asked = pairs.join(parts, "v").select(F.col("u").alias("_same"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("turn"))
+    leads = parts.select(F.col("v").alias("_same"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"))
+    asked = asked.union(leads)
+    rows = found.select("_same", "_row").join(asked.select("_same").distinct(), "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row"))
+    asked = durable(asked.join(rows, "_same"), "asked-texts")
+    sent = found.select("_row", "text").join(F.broadcast(asked) if asked.count() <= few else asked, "_row")
 
     def run(batches):
-        hashes = _WordHashes()
+        hashes, now, lead = _WordHashes(), None, None
         for batch in batches:
-            out, last, a = [], None, None
-            for u, v, left, right in zip(*[batch.column(k).to_pylist() for k in ("u", "v", "x", "y")], strict=True):
-                if u != last:
-                    last, a = u, shingle_set(left or "", size, hashes)
-                b = shingle_set(right or "", size, hashes)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if q * both >= p * (len(a) + len(b) - both):
+            out = []
+            for v, part, turn, u, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = shingle_set(text or "", size, hashes)
+                if turn == 0:
+                    now, lead = (v, part), own
+                    continue
+                if now != (v, part):
+                    raise RuntimeError("a text came without the one it is compared with")
+                both = len(np.intersect1d(lead, own, assume_unique=True))
+                if q * both >= p * (len(lead) + len(own) - both):
                     out.append((u, v))
             yield pa.record_batch({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return sent.repartition("v", "part").sortWithinPartitions("v", "part", "turn").select("v", "part", "turn", "_same", "text").mapInArrow(run, "u long, v long")
 
 
 def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: int = 20_000, most: int = 100_000, crowd: int = 64) -> DataFrame:
