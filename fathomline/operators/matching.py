@@ -22,12 +22,12 @@ GRAM = 3
 
 
 def characters(text: Column) -> Column:
-    """The characters of a text as a set: each with its number among its like, rarest kinds first."""
+    """The characters of a text as a set of numbers, each from its code point and its number among its like, rarest kinds first."""
     every = F.split(text, "")
     numbered = F.transform(every, lambda c, i: F.struct(
         (F.instr(F.lit(COMMON_FIRST), c) - 6 * F.size(F.filter(F.slice(every, 1, i + 1), lambda x: x == c))).alias("order"), c.alias("c"),
         F.size(F.filter(F.slice(every, 1, i + 1), lambda x: x == c)).alias("k")))
-    return F.transform(F.array_sort(F.filter(numbered, lambda x: x.c != "")), lambda x: F.concat(x.c, x.k.cast("string")))
+    return F.transform(F.array_sort(F.filter(numbered, lambda x: x.c != "")), lambda x: F.ascii(x.c).cast("long") * 1_000_000 + x.k)
 
 
 def bound(a: Column, b: Column) -> Column:
@@ -113,9 +113,10 @@ def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, a
     """
     cols = ("key", "club", "country", "position")
     side = lambda df, i, p: df.select(i, *[F.coalesce(c, F.lit("")).alias(f"{p}_{c}") for c in cols])
-    texts = substring_pairs(left.select(F.col("key").alias("a")), right.select(F.col("key").alias("b")))
-    texts = texts.select(F.col("a").alias("l_key"), F.col("b").alias("r_key")).withColumn("_most", F.greatest(
-        bound(characters(F.col("l_key")), characters(F.col("r_key"))), bound(characters(sorted_words(F.col("l_key"))), characters(sorted_words(F.col("r_key"))))))
+    own = lambda df, k, c: df.select(F.col("key").alias(k)).where(F.col(k) != "").distinct().withColumns({f"_{c}": characters(F.col(k)), f"_{c}s": characters(sorted_words(F.col(k)))})
+    texts = substring_pairs(left.select(F.col("key").alias("a")), right.select(F.col("key").alias("b"))).select(F.col("a").alias("l_key"), F.col("b").alias("r_key"))
+    most = F.greatest(bound(F.col("_l"), F.col("_r")), bound(F.col("_ls"), F.col("_rs")))
+    texts = texts.join(own(left, "l_key", "l"), "l_key").join(own(right, "r_key", "r"), "r_key").select("l_key", "r_key", most.alias("_most"))
     both = texts.join(side(left, left_id, "l"), "l_key").join(side(right, right_id, "r"), "r_key")
     both = _added(both, "club", [(1.0, 0.14), (0.88, 0.08), (0.75, 0.04)])
     both = _added(both, "country", [(1.0, 0.08), (0.85, 0.03)])
