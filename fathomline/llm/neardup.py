@@ -85,8 +85,8 @@ def signed(x: int) -> int:
 
 def met(index: DataFrame) -> DataFrame:
     """(u, v): pairs of fingerprints that share a list of ``index`` and lie within two bits of each other there."""
-    lists = index.groupBy("slot", "bytes").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("slot", "bytes")
-    shared = durable(index.join(lists, ["slot", "bytes"], "left_semi"), "byte-lists")
+    whole = W.partitionBy("slot", "bytes")  # at most 65,536 rows
+    shared = durable(index.withColumns({"a": F.min("fp").over(whole), "b": F.max("fp").over(whole)}).where("a < b").drop("a", "b"), "byte-lists")
     near = shared.select("slot", "bytes", "fp", F.explode(F.array(F.col("rest"), *[F.col("rest").bitwiseXOR(F.lit(1 << k)) for k in range(16)])).alias("at"))
     x, y = near.alias("x"), near.alias("y")
     same = reduce(lambda p, q: p & q, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("slot", "bytes", "at")])
