@@ -386,10 +386,11 @@ def tracker_replay(spark, d):
     """The stateful tracker's rows over the whole table of events; on a stream, ``streaming.tracker.track`` gives the same."""
     from fathomline.streaming.tracker import replayed
 
+    # odds at half a hundredth are rounded as the double times 100 tells, which is what SQL's engine does
     e, v = F.col("event_type"), F.col("value")
     events = table(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("signal_id"), "event_id", "ts", F.when(e == "purchase", "closing").when(e == "error", "result").otherwise("signal").alias("kind"), F.round(1.1 + v / 50, 2).alias("odds"),
+        F.col("user_id").cast("string").alias("signal_id"), "event_id", "ts", F.when(e == "purchase", "closing").when(e == "error", "result").otherwise("signal").alias("kind"), (F.round((1.1 + v / 50) * 100) / 100).alias("odds"),
         F.when(e != "click", (F.col("event_id") % 3).cast("double")).alias("stake"), F.when(v > 60, "win").when(v > 20, "loss").otherwise("void").alias("result"))
-    rows = replayed(events)
+    rows = replayed(events, digits=None)
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return rows.select("signal_id", ntz("first_seen"), ntz("last_seen"), "first_odds", "latest_odds", "stake", "closing_odds", "result", F.round(F.col("clv_pct") + 0.000013, 2).alias("clv_pct"), F.round(F.col("profit") + 0.000013, 2).alias("profit"), "status")

@@ -117,8 +117,11 @@ def track(events: DataFrame, expire_hours: int = 72, late: str = "1 day") -> Dat
         statefulProcessor=Tracker(expire_hours * 3_600_000), outputStructType=TRACKED, outputMode="Update", timeMode="EventTime")
 
 
-def replayed(events: DataFrame, expire_hours: int = 72, now: Column | None = None) -> DataFrame:
-    """The same tracker over a whole table of events, as aggregates; ``now`` (the latest event's time) decides what has expired."""
+def replayed(events: DataFrame, expire_hours: int = 72, now: Column | None = None, digits: int | None = 3) -> DataFrame:
+    """The same tracker over a whole table of events, as aggregates; ``now`` (the latest event's time) decides what has expired.
+
+    Closing value and profit have ``digits``, or are exact (None) for callers that round them themselves: rounding twice isn't rounding once.
+    """
     known = events.where("signal_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.struct("ts", "event_id")
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
@@ -128,9 +131,10 @@ def replayed(events: DataFrame, expire_hours: int = 72, now: Column | None = Non
     agg = agg.where(F.col("first_seen").isNotNull())
     latest = known.agg(F.max("ts").alias("_now"))
     agg = agg.crossJoin(F.broadcast(latest)) if now is None else agg.withColumn("_now", now)  # one row
-    profit = F.when(F.col("result") == "win", F.round((F.col("first_odds") - 1) * F.col("stake"), 3)).when(F.col("result") == "loss", F.round(-F.col("stake"), 3)).when(F.col("result") == "void", 0.0)
+    cut = lambda v: v if digits is None else F.round(v, digits)
+    profit = F.when(F.col("result") == "win", cut((F.col("first_odds") - 1) * F.col("stake"))).when(F.col("result") == "loss", cut(-F.col("stake"))).when(F.col("result") == "void", 0.0)
     status = F.when(F.col("result").isNotNull(), "settled").when(F.col("last_seen") + F.make_interval(hours=F.lit(expire_hours)) < F.col("_now"), "expired").otherwise("open")
-    return agg.select("signal_id", "first_seen", "last_seen", "first_odds", "latest_odds", "stake", "closing_odds", "result", F.when(F.col("closing_odds") != 0, F.round((F.col("first_odds") / F.col("closing_odds") - 1) * 100, 3)).alias("clv_pct"), profit.alias("profit"), status.alias("status"))
+    return agg.select("signal_id", "first_seen", "last_seen", "first_odds", "latest_odds", "stake", "closing_odds", "result", F.when(F.col("closing_odds") != 0, cut((F.col("first_odds") / F.col("closing_odds") - 1) * 100)).alias("clv_pct"), profit.alias("profit"), status.alias("status"))
 
 
 def log_changes(changes: DataFrame, path: str, checkpoint: str):

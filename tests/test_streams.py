@@ -161,3 +161,24 @@ def test_silent_signals_expire_and_come_back(spark, tmp_path, state_store):
     assert said["c"] == [("insert", "open"), ("settle", "settled")] and said["d"] == [("insert", "open")]
     last = {r.signal_id: r for r in tracker.latest_changes(log, "signal_id").collect()}
     assert last["a"].first_odds == 2.0 and last["a"].latest_odds == 2.5 and last["a"].stake == 1.0 and last["c"].profit == -1.0 and last["b"].profit == 1.0
+
+
+def test_a_replay_leaves_rounding_to_its_caller(spark):
+    rows = [("a", 1, START, "signal", 1.6, 1.0, None), ("a", 2, START + DAY, "closing", 1.1, None, None)]
+    (r,) = tracker.replayed(spark.createDataFrame(rows, tracker.EVENT), digits=None).selectExpr("round(clv_pct, 2) AS v").collect()
+    assert r.v == 45.45  # 45.4545...: by way of 45.455 it would be 45.46
+
+
+def test_the_replay_of_the_tables_matches_sql_at_ties(spark, tmp_path):
+    import duckdb
+
+    from fathomline.plans.registry import ORACLE_SQL, QUERIES
+
+    kinds = ["view", "purchase", "view", "click"]
+    rows = [(i, i // 4, START + i * DAY, kinds[i % 4], i % 200 + (0.25 if i % 2 else 0.75)) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["tracker_replay"](spark, str(tmp_path)).select("signal_id", "first_odds", "latest_odds", "closing_odds", "clv_pct").collect())
+    sql = ORACLE_SQL["tracker_replay"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(duckdb.sql(f"SELECT signal_id, first_odds, latest_odds, closing_odds, clv_pct FROM ({sql})").fetchall())
+    assert got == want
