@@ -395,11 +395,23 @@ def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound, group: in
     return sent.repartition("v", "part").sortWithinPartitions("v", "part", "turn").select("v", "part", "turn", "_same", "text").mapInArrow(run, "u long, v long")
 
 
+def print_pairs(found: DataFrame) -> DataFrame:
+    """(u, v): the sets of ``found`` (_same, _fp) by the index of fingerprints: each with the one that stands for its fingerprint, and those of fingerprints within two bits."""
+    each = durable(found.select("_same", "_fp").distinct(), "set-prints")
+    one = durable(each.groupBy(F.col("_fp").alias("fp")).agg(F.min("_same").alias("lead")), "print-leads")
+    members = each.join(one, F.col("_fp") == F.col("fp")).where("_same <> lead").select(F.col("_same").alias("u"), F.col("lead").alias("v"))
+    of = lambda c: one.select(F.col("fp").alias(c), F.col("lead").alias(f"_{c}"))
+    return members.union(links(one.select("fp")).join(of("u"), "u").join(of("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v"))
+
+
 def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: int = 20_000, most: int = 100_000, crowd: int = 64) -> DataFrame:
-    """(u, v): links that connect exactly the shingle sets of ``found`` (_same, _row, text) which pairs of ``similarity`` or more connect.
+    """(u, v): links that connect exactly the shingle sets of ``found`` (_same, _row, text, _fp) which pairs of ``similarity`` or more connect.
 
-    Similar sets meet in an index of each one's rarest shingles (a prefix filter loses
-    none). First every set is compared with one set it meets often, the likeliest source
+    Fingerprints (_fp, over shingles of the same size) within two bits give the first
+    pairs, by the index over byte positions with its tally; they are compared in full. As
+    alike sets may have fingerprints further apart, an exact way finds the rest: similar
+    sets meet in an index of each one's rarest shingles (a prefix filter loses none).
+    Every set is compared with one set it meets often there too, the likeliest source
     of its group of near copies, which takes one pair a set and joins most groups. Then
     all pairs that meet and aren't joined yet are compared in full, but for those of lists
     of ``crowd`` sets or more whose bit maps differ too much. Pairs within what is joined
@@ -407,7 +419,7 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
     """
     bound = Bound.of(similarity)
     lists = durable(shared_lists(prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))), "shared-lists")
-    first = durable(alike(found, durable(star_pairs(lists, bound), "stars"), size, bound), "star-links")
+    first = durable(alike(found, durable(print_pairs(found).union(star_pairs(lists, bound)).distinct(), "stars"), size, bound), "star-links")
     joined = components(first).select(F.col("node").alias("same"), "component")
     marked = durable(with_past(lists.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same"))), "marked-lists")
     long = marked.where(F.col("size") >= crowd)
@@ -420,6 +432,8 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group, with all its columns: the smallest doc_id (a null one only where there is no other).
 
+    Fingerprints within two bits, by their index, are the first links to be tried, and
+    an exact way finds the others.
     Documents are linked whose sets of ``size``-word shingles have a similarity (shared
     ones by all of both) of ``similarity`` or more; groups are what links connect. Null
     and empty texts, and others without words, are alike. Equal ids and repeated rows
@@ -435,13 +449,15 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
-            same = [xxhash.xxh64_intdigest(shingle_set(t or "", size, hashes).tobytes()) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(same, np.uint64).view(np.int64))], [*batch.schema.names, "_same"])
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            same = [xxhash.xxh64_intdigest(shingle_set(t, size, hashes).tobytes()) for t in texts]
+            prints = [fingerprint(t, size) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, prints)]], [*batch.schema.names, "_same", "_fp"])
 
-    found = durable(source.mapInArrow(run, f"{fields_of(source, source.columns)}, _same long"), "shingled")
-    links = durable(similar_sets(found.select("_row", "_same", F.col(f"c{at}").alias("text")), size, similarity), "similar")
+    found = durable(source.mapInArrow(run, f"{fields_of(source, source.columns)}, _same long, _fp long"), "shingled")
+    joined = durable(similar_sets(found.select("_row", "_same", "_fp", F.col(f"c{at}").alias("text")), size, similarity), "similar")
     narrow = found.select(F.col(f"c{columns.index('doc_id')}").cast("long").alias("doc_id"), F.col("_same").alias("node"), "_row")
-    named = narrow.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = narrow.join(components(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
     dropped = durable(narrow.select("_row").join(first, "_row", "left_anti"), "dropped-rows")

@@ -103,3 +103,15 @@ def test_pairs_of_a_group_are_not_made(spark):
     left = {(r.u, r.v) for r in neardup.meetings(neardup.with_past(apart).join(maps, "same"), bound).collect()}
     similar = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if alike(a.tolist(), b.tolist()) >= 0.8}
     assert similar <= left <= {(r.u, r.v) for r in made.collect()} and len(left) < made.distinct().count()
+
+
+def test_fingerprints_within_two_bits_are_the_first_pairs(spark):
+    rows = sorted({(int.from_bytes(t.encode()[:5], "big") % 1000 + 1000 * i, neardup.signed(neardup.fingerprint(t, 5))) for i, (_, t) in enumerate(near_texts()) if t})
+    rows += [(rows[0][0], rows[1][1]), (9_000_000, rows[2][1]), (9_000_001, rows[3][1] ^ 5), (9_000_002, rows[4][1] ^ 1)]  # a set with two prints, a shared print, two bits, one bit
+    got = {(r.u, r.v) for r in neardup.print_pairs(spark.createDataFrame(rows, "_same long, _fp long")).collect()}
+    lead = {}
+    for same, fp in rows:
+        lead[fp] = min(lead.get(fp, same), same)
+    want = {(same, lead[fp]) for same, fp in rows if same != lead[fp]}
+    near = {(lead[a], lead[b]) for a in lead for b in lead if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2 and lead[a] != lead[b]}
+    assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in want | near} and len(near) >= 2
