@@ -10,18 +10,29 @@ from fathomline.operators.joins import join_null_safe
 
 
 def _quoted(quotes: DataFrame, key: list[str], time: str, tie: str, value: str) -> DataFrame:
-    """One row a key and time: of several quotes of one time the one with the largest ``tie`` holds."""
+    """One row a key and time: of several quotes of one time the one with the largest ``tie`` holds.
+
+    Rows are dealt by key and sorted once, by time and tie, which serves all windows that
+    follow; a maximum of structs would sort the whole input before that.
+    """
     known = quotes.where(F.col(time).isNotNull() & F.col(value).isNotNull())
-    return known.groupBy(*key, time).agg(F.max_by(value, tie).alias(value)).select(*key, F.col(time).alias("_from"), F.col(time).alias("_seen"), F.col(value).alias("_v"), F.lit(1).cast("long").alias("_n"))
+    last = F.row_number().over(W.partitionBy(*key, time).orderBy(F.desc(tie)))
+    rows = known.select(*key, time, value, tie).repartition(*key).withColumn("_last", last).where("_last = 1")
+    return rows.select(*key, F.col(time).alias("_from"), F.col(time).alias("_seen"), F.col(value).alias("_v"), F.lit(1).cast("long").alias("_n"))
 
 
 def _islands(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Rows where a new value begins, with what the next one's beginning tells of their end: one sort, no aggregate."""
     along = W.partitionBy(*key).orderBy("_from")
-    marked = rows.withColumn("_new", F.when(F.lag("_v").over(along).eqNullSafe(F.col("_v")), 0).otherwise(1))
-    marked = marked.withColumn("_island", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    found = marked.groupBy(*key, "_island").agg(F.min("_v").alias(value), F.min("_from").alias("valid_from"), F.max("_seen").alias("last_seen"), F.sum("_n").alias("quotes"))
-    upto = F.lead("valid_from").over(W.partitionBy(*key).orderBy("valid_from"))
-    return found.withColumn("valid_to", upto).withColumn("is_current", F.col("valid_to").isNull()).select(*key, value, "valid_from", "valid_to", "last_seen", "quotes", "is_current")
+    before, whole = along.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*key)
+    marked = rows.withColumns({
+        "_same": F.lag("_v").over(along).eqNullSafe(F.col("_v")), "_seen_before": F.max("_seen").over(before), "_n_before": F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")),
+        "_seen_last": F.max("_seen").over(whole), "_n_all": F.sum("_n").over(whole)})
+    first = F.row_number().over(along) == 1
+    begun = marked.withColumn("_first", first).where("_first OR NOT _same")
+    upto = F.lead("_from").over(along)
+    found = begun.withColumns({"valid_to": upto, "last_seen": F.coalesce(F.lead("_seen_before").over(along), "_seen_last"), "quotes": F.coalesce(F.lead("_n_before").over(along), "_n_all") - F.col("_n_before")})
+    return found.withColumn("is_current", F.col("valid_to").isNull()).select(*key, F.col("_v").alias(value), F.col("_from").alias("valid_from"), "valid_to", "last_seen", "quotes", "is_current")
 
 
 def intervals(quotes: DataFrame, key: list[str], time: str, tie: str, value: str) -> DataFrame:

@@ -56,3 +56,9 @@ def test_merges_equal_a_fresh_start(spark, split):
     history, fresh = spark.createDataFrame(old, SCHEMA), spark.createDataFrame(new, SCHEMA)
     found = L.merged(L.intervals(history, KEY, "at", "tie", "odds"), history, fresh, KEY, "at", "tie", "odds")
     assert told(found) == slow(old + new)
+
+
+def test_intervals_deal_and_sort_quotes_once(spark):
+    found = L.intervals(spark.createDataFrame(quotes(), SCHEMA), KEY, "at", "tie", "odds")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
