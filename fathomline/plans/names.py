@@ -66,7 +66,7 @@ def match_inverted(spark, d):
 
 def _openings(spark, d):
     """Every document as a person: its opening three words as the name, its source as the club, its language as the country."""
-    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""), 1, 3)
+    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+", 5), lambda w: w != ""), 1, 3)  # the first part may be empty, the fifth is the rest
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), words.alias("words"), F.coalesce("source", F.lit("")).alias("club"), F.coalesce("lang", F.lit("")).alias("country"), F.when(F.col("n_chars") > 900, "long").otherwise("short").alias("position"))
 
