@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import discard, durable
+from fathomline.llm.common import discard, durable, shuffled
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,8 +13,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two steps that hang nodes below smaller ones (large star, small star)
     until nothing changes; the rounds needed grow with the logarithm of the longest
-    path. Every round is written to the shared folder, and the one before removed. Loops, repeated edges and nulls
-    are dropped; a node without an edge isn't returned.
+    path. Every round is written to the shared folder, and the one before removed; nothing
+    of it passes through the driver. Loops, repeated edges and nulls are dropped; a node
+    without an edge isn't returned.
     """
     pairs = durable(
         edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
@@ -22,10 +23,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = pairs.select("a", "b").union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where(F.col("b") > F.col("a")).join(shuffled(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = durable(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(shuffled(least), "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, pairs = pairs, durable(small.union(least).distinct(), "small-star")
         discard(old)
         discard(large)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import by_name, durable, fields_of, fresh, only, small_batches
+from fathomline.llm.common import by_name, durable, fields_of, fresh, only, shuffled, small_batches
 from fathomline.llm.graph import components
 
 BITS = 2
@@ -295,7 +295,7 @@ def star_pairs(lists: DataFrame, bound: Bound) -> DataFrame:
 def bit_maps(found: DataFrame, sets: DataFrame, size: int, longs: int = 16) -> DataFrame:
     """(same, m0, m1, ...): for every one of the ``sets`` (_same) a map of 64 x ``longs`` bits, one set for each shingle, by its hash."""
     names = [f"m{k}" for k in range(longs)]
-    rows = found.select("_same", "_row").join(sets, "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row")).select("_row")
+    rows = found.select("_same", "_row").join(shuffled(sets), "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row")).select("_row")
     texts = only(found.select("_row", "_same", "text"), durable(rows, "mapped-rows"), "_row", keep=True).select("_same", "text")
 
     def run(batches):
@@ -369,11 +369,11 @@ def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound, group: in
     """
     p, q = bound.p, bound.q
     parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
-    asked = pairs.join(parts, "v").select(F.col("u").alias("_same"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("turn"))
+    asked = pairs.join(shuffled(parts), "v").select(F.col("u").alias("_same"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("turn"))
     leads = parts.select(F.col("v").alias("_same"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"))
     asked = asked.union(leads)
-    rows = found.select("_same", "_row").join(asked.select("_same").distinct(), "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row"))
-    asked = durable(asked.join(rows, "_same"), "asked-texts")
+    rows = found.select("_same", "_row").join(shuffled(asked.select("_same").distinct()), "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row"))
+    asked = durable(asked.join(shuffled(rows), "_same"), "asked-texts")
     sent = found.select("_row", "text").join(F.broadcast(asked) if asked.count() <= few else asked, "_row")
 
     def run(batches):
@@ -399,9 +399,9 @@ def print_pairs(found: DataFrame) -> DataFrame:
     """(u, v): the sets of ``found`` (_same, _fp) by the index of fingerprints: each with the one that stands for its fingerprint, and those of fingerprints within two bits."""
     each = durable(found.select("_same", "_fp").distinct(), "set-prints")
     one = durable(each.groupBy(F.col("_fp").alias("fp")).agg(F.min("_same").alias("lead")), "print-leads")
-    members = each.join(one, F.col("_fp") == F.col("fp")).where("_same <> lead").select(F.col("_same").alias("u"), F.col("lead").alias("v"))
+    members = each.join(shuffled(one), F.col("_fp") == F.col("fp")).where("_same <> lead").select(F.col("_same").alias("u"), F.col("lead").alias("v"))
     of = lambda c: one.select(F.col("fp").alias(c), F.col("lead").alias(f"_{c}"))
-    return members.union(links(one.select("fp")).join(of("u"), "u").join(of("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v"))
+    return members.union(shuffled(links(one.select("fp"))).join(of("u"), "u").join(shuffled(of("v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v"))
 
 
 def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: int = 20_000, most: int = 100_000, crowd: int = 64) -> DataFrame:
@@ -421,7 +421,7 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
     lists = durable(shared_lists(prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))), "shared-lists")
     first = durable(alike(found, durable(print_pairs(found).union(star_pairs(lists, bound)).distinct(), "stars"), size, bound), "star-links")
     joined = components(first).select(F.col("node").alias("same"), "component")
-    marked = durable(with_past(lists.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same"))), "marked-lists")
+    marked = durable(with_past(lists.join(shuffled(joined), "same", "left").withColumn("component", F.coalesce("component", "same"))), "marked-lists")
     long = marked.where(F.col("size") >= crowd)
     maps = bit_maps(found, durable(long.select(F.col("same").alias("_same")).distinct(), "crowded"), size)
     met = meetings(marked.where(F.col("size") < crowd), bound).union(meetings(long.join(maps, "same"), bound))
@@ -457,7 +457,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     found = durable(source.mapInArrow(run, f"{fields_of(source, source.columns)}, _same long, _fp long"), "shingled")
     joined = durable(similar_sets(found.select("_row", "_same", "_fp", F.col(f"c{at}").alias("text")), size, similarity), "similar")
     narrow = found.select(F.col(f"c{columns.index('doc_id')}").cast("long").alias("doc_id"), F.col("_same").alias("node"), "_row")
-    named = narrow.join(components(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = narrow.join(shuffled(components(joined)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
     dropped = durable(narrow.select("_row").join(first, "_row", "left_anti"), "dropped-rows")

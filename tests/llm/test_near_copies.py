@@ -5,7 +5,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from fathomline.llm import neardup
+from fathomline.llm import graph, neardup
 from pyspark.sql import functions as F
 
 
@@ -115,3 +115,12 @@ def test_fingerprints_within_two_bits_are_the_first_pairs(spark):
     want = {(same, lead[fp]) for same, fp in rows if same != lead[fp]}
     near = {(lead[a], lead[b]) for a in lead for b in lead if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2 and lead[a] != lead[b]}
     assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in want | near} and len(near) >= 2
+
+
+def test_small_components_are_not_broadcast(spark, monkeypatch):
+    """The rounds' joins are shuffled at any size, as broadcasts would be built in the driver."""
+    plans, written = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or written(df, name))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 5), (5, 9), (4, 4), (None, 1)], "u long, v long")
+    assert {tuple(r) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 5), (9, 5)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
