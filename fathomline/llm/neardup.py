@@ -193,8 +193,8 @@ def common_shingles(found: DataFrame, size: int, sample_rows: int, most: int) ->
             for text in batch.column(0).to_pylist():
                 yield pa.record_batch({"h": pa.array(shingle_set(text or "", size, hashes).view(np.int64))})
 
-    top = part.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
-    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    top = part.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -359,8 +359,13 @@ def with_past(lists: DataFrame, back: int = 4) -> DataFrame:
     return lists.withColumns({f"b{k}": F.coalesce(F.lag("h", k).over(before), "same") for k in range(1, back + 1)})
 
 
-def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound, group: int = 256, few: int = 400_000) -> DataFrame:
-    """The pairs (u, v) of sets of ``found`` (_same, _row, text) whose similarity reaches the bound: their texts' sets are compared in full.
+def set_rows(found: DataFrame) -> DataFrame:
+    """(_same, _row): each set of ``found`` with the first row that has it."""
+    return durable(found.groupBy("_same").agg(F.min("_row").alias("_row")), "set-rows")
+
+
+def alike(found: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, bound: Bound, group: int = 256, few: int = 400_000) -> DataFrame:
+    """The pairs (u, v) of ``sets`` (_same, _row) whose similarity reaches the bound: the sets of their rows' texts in ``found`` (_row, text) are compared in full.
 
     Every u's text goes to its v, and v's text there once for each ``group`` of them, so
     that a text with very many partners is shared by several tasks. Which texts go where
@@ -371,9 +376,7 @@ def alike(found: DataFrame, pairs: DataFrame, size: int, bound: Bound, group: in
     parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
     asked = pairs.join(shuffled(parts), "v").select(F.col("u").alias("_same"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("turn"))
     leads = parts.select(F.col("v").alias("_same"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"))
-    asked = asked.union(leads)
-    rows = found.select("_same", "_row").join(shuffled(asked.select("_same").distinct()), "_same", "left_semi").groupBy("_same").agg(F.min("_row").alias("_row"))
-    asked = durable(asked.join(shuffled(rows), "_same"), "asked-texts")
+    asked = durable(asked.union(leads).join(shuffled(sets), "_same"), "asked-texts")
     sent = found.select("_row", "text").join(F.broadcast(asked) if asked.count() <= few else asked, "_row")
 
     def run(batches):
@@ -419,14 +422,15 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
     """
     bound = Bound.of(similarity)
     lists = durable(shared_lists(prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))), "shared-lists")
-    first = durable(alike(found, durable(print_pairs(found).union(star_pairs(lists, bound)).distinct(), "stars"), size, bound), "star-links")
+    sets = set_rows(found)
+    first = durable(alike(found, sets, durable(print_pairs(found).union(star_pairs(lists, bound)).distinct(), "stars"), size, bound), "star-links")
     joined = components(first).select(F.col("node").alias("same"), "component")
     marked = durable(with_past(lists.join(shuffled(joined), "same", "left").withColumn("component", F.coalesce("component", "same"))), "marked-lists")
     long = marked.where(F.col("size") >= crowd)
     maps = bit_maps(found, durable(long.select(F.col("same").alias("_same")).distinct(), "crowded"), size)
     met = meetings(marked.where(F.col("size") < crowd), bound).union(meetings(long.join(maps, "same"), bound))
     near = durable(met.distinct(), "meetings")
-    return first.union(alike(found, near, size, bound))
+    return first.union(alike(found, sets, near, size, bound))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

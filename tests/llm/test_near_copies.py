@@ -124,3 +124,28 @@ def test_small_components_are_not_broadcast(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 5), (5, 9), (4, 4), (None, 1)], "u long, v long")
     assert {tuple(r) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 5), (9, 5)}
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_edges_that_are_stars_need_no_round(spark, monkeypatch):
+    """The driver keeps something of every task: rounds end when stars are left, not when one more round has changed nothing."""
+    names, written = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, name: names.append(name) or written(df, name))
+    rng, of = random.Random(9), lambda rows: {tuple(r) for r in graph.components(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert of([(1, 2), (3, 1), (1, 3), (5, 6)]) == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} and names == ["edges"]
+    names.clear()
+    assert of([(k, 100) for k in range(9)]) == {(k, 0) for k in (*range(9), 100)} and names == ["edges", "large-star", "small-star"]
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(500, 560)]
+    group = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in group:
+        for u, v in edges:
+            if u != v:
+                group[u] = group[v] = min(group[u], group[v])
+    assert of(edges) == set(group.items())
+
+
+def test_sets_are_looked_up_once(spark, monkeypatch):
+    """Comparing pairs doesn't group all rows by set again."""
+    plans, written = {}, neardup.durable
+    monkeypatch.setattr(neardup, "durable", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().toString()) and written(df, name))
+    neardup.drop_near_duplicates(spark.createDataFrame(near_texts(), "doc_id long, text string"), 5, 0.8).count()
+    assert "set-rows" in plans["asked-texts"] and "shingled" not in plans["asked-texts"]
