@@ -1,9 +1,12 @@
 """Out-of-fold curves against a slow version, their report, and the backtest at closing odds."""
 
+import math
+
 import numpy as np
 import pytest
+from fathomline import models as M
 from fathomline.models import calibration as C
-from fathomline.plans.models import calibration_report, closing_quotes, variant_backtest
+from fathomline.plans.models import FEATURES, calibration_report, closing_quotes, markets, training, variant_backtest
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,3 +73,17 @@ def test_backtest_of_variants_at_closing_odds(spark):
     rows = {r.variant: r for r in variant_backtest(spark, SMALL).collect()}
     assert set(rows) == {"trees", "rates", "blend", "calibrated"} and len({r.candidates for r in rows.values()}) == 1
     assert all(r.roi_low_pct <= r.roi_pct <= r.roi_high_pct or r.bets < 2 for r in rows.values()) and sum(r.bets for r in rows.values()) > 0
+
+
+def test_markets_correct_low_scores_by_the_fitted_dependence(spark):
+    train = training(spark, SMALL).where("year < 1999")
+    home, away = (M.RateModel.fit(train, FEATURES, f"{side}_goals") for side in ("home", "away"))
+    rho = M.fit_rho(away(home(train, "h"), "a"), "h", "a", "home_goals", "away_goals")
+    assert abs(rho) > 1e-3
+    chance = lambda rate, n: math.exp(-rate) * rate ** n / math.factorial(n)
+    for r in markets(spark, SMALL, 1).limit(50).collect():
+        h, a = r.home_rate, r.away_rate
+        factor = {(0, 0): 1 - h * a * rho, (0, 1): 1 + h * rho, (1, 0): 1 + a * rho, (1, 1): 1 - rho}
+        p = {(x, y): chance(h, x) * chance(a, y) * factor.get((x, y), 1.0) for x in range(9) for y in range(9)}
+        want = [sum(v for (x, y), v in p.items() if holds(x, y)) / sum(p.values()) for holds in (lambda x, y: x > y, lambda x, y: x == y, lambda x, y: x + y > 2)]
+        assert [r.rates_home, r.rates_draw, r.rates_over] == pytest.approx(want, abs=1e-9)
