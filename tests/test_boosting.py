@@ -118,3 +118,21 @@ def test_queries(spark):
     assert rows["trees"].deviance < rows["line"].deviance + 0.02
     p = {r.name: r.value for r in blend_parameters(spark, SMALL).collect()}
     assert p["high"] > 0.7 and p["low"] < 0.35 and p["log_loss"] < 0.7
+
+
+def test_counts_of_equal_rows_give_the_models_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), None if a == 3 else float(b), float(y)) for a, b, y in zip(rng.integers(0, 6, 900), rng.poisson(2, 900), rng.integers(0, 3, 900), strict=True)]
+    t = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    columns = ["a", "b"]
+    known, few = M.Features.fit(t, columns), M.counted(t, [*columns, "y"])
+    assert few.agg(F.sum("n")).first()[0] == 900 and few.count() < 200 and few.where("n < 20").count() > 20
+    score = lambda model: {tuple(r[:2]): r[2] for r in model(t.select(*columns).distinct()).collect()}
+    each, whole = (score(B.BoostedModel.fit(df, columns, "y", rounds=2, depth=5, **more)) for df, more in ((t, {}), (few, {"known": known, "weight": "n"})))
+    assert each.keys() == whole.keys() and all(each[k] == pytest.approx(whole[k], abs=1e-9) for k in each)
+    rate = lambda df, **more: {tuple(r[:2]): r[2] for r in M.RateModel.fit(df, columns, "y", **more)(t.select(*columns).distinct(), "rate").collect()}
+    assert rate(few, features=known, weight="n") == pytest.approx(rate(t), abs=1e-6)
+    scores = lambda df, **more: M.fit_rho(df.withColumn("h", F.lit(1.2)), "h", "h", "y", "a", **more)
+    assert scores(few, weight="n") == pytest.approx(scores(t), abs=1e-9)
+    with pytest.raises(ValueError, match="fewer"):
+        M.RateModel.fit(few.limit(2), columns, "y", features=known, weight="n", least_rows=1000)

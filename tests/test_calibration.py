@@ -87,3 +87,10 @@ def test_markets_correct_low_scores_by_the_fitted_dependence(spark):
         p = {(x, y): chance(h, x) * chance(a, y) * factor.get((x, y), 1.0) for x in range(9) for y in range(9)}
         want = [sum(v for (x, y), v in p.items() if holds(x, y)) / sum(p.values()) for holds in (lambda x, y: x > y, lambda x, y: x == y, lambda x, y: x + y > 2)]
         assert [r.rates_home, r.rates_draw, r.rates_over] == pytest.approx(want, abs=1e-9)
+
+
+def test_curves_beside_the_rows_are_those_out_of_fold(scored):
+    curves = {"square": ("p", F.col("u") == 1)}
+    want = {r.k: r.fitted for r in C.out_of_fold(scored, curves, "k", 4).collect()}
+    found = C.fold_curves(C.long_form(scored, curves, "k", 4), 4)
+    assert {r.k: r.fitted for r in C.with_fitted(scored, "p", "k", found, "fitted", 4).collect()} == want
