@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import by_name, durable, fields_of, fresh, only, shuffled, small_batches
+from fathomline.llm.common import by_name, discard, durable, fields_of, fresh, only, shuffled, small_batches
 from fathomline.llm.graph import components
 
 BITS = 2
@@ -364,38 +364,80 @@ def set_rows(found: DataFrame) -> DataFrame:
     return durable(found.groupBy("_same").agg(F.min("_row").alias("_row")), "set-rows")
 
 
-def alike(found: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, bound: Bound, group: int = 256, few: int = 400_000) -> DataFrame:
-    """The pairs (u, v) of ``sets`` (_same, _row) whose similarity reaches the bound: the sets of their rows' texts in ``found`` (_row, text) are compared in full.
+def parity_map(shingles: np.ndarray, least: int = 1024) -> np.ndarray:
+    """Whether an odd number of the hashes falls on each bit, as bytes; no fewer bits than hashes, a power of two, so that a longer map folds to a shorter one."""
+    bits = max(least, 1 << (len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles >> np.uint64(20)).astype(np.int64) & bits - 1, minlength=bits) & 1).astype(np.uint8))
+
+
+def odd_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """The bits of two parity maps that differ: each stands for a shingle that only one set has, at least."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    return int(np.bitwise_count(short ^ np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)).sum())
 
-    Every u's text goes to its v, and v's text there once for each ``group`` of them, so
-    that a text with very many partners is shared by several tasks. Which texts go where
-    is broadcast where it is at most ``few`` rows (about 100 bytes each); then only texts
-    that are compared move, and once.
+
+def brought(found: DataFrame, column: str, sets: DataFrame, pairs: DataFrame, name: str, group: int, few: int) -> DataFrame:
+    """(v, part, turn, _same, ``column`` ...): each v's row of ``found``, then those of its partners u, once for each ``group`` of them, so that a set with very many partners is shared by several tasks.
+
+    What goes where is broadcast where it is at most ``few`` rows (about 100 bytes each);
+    then only rows that are compared move, and once.
     """
-    p, q = bound.p, bound.q
     parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
     asked = pairs.join(shuffled(parts), "v").select(F.col("u").alias("_same"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("turn"))
     leads = parts.select(F.col("v").alias("_same"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"))
-    asked = durable(asked.union(leads).join(shuffled(sets), "_same"), "asked-texts")
-    sent = found.select("_row", "text").join(F.broadcast(asked) if asked.count() <= few else asked, "_row")
+    asked = durable(asked.union(leads).join(shuffled(sets), "_same"), name)
+    sent = found.select("_row", column).join(F.broadcast(asked) if asked.count() <= few else asked, "_row")
+    return sent.repartition("v", "part").sortWithinPartitions("v", "part", "turn").select("v", "part", "turn", "_same", column)
+
+
+def held_against(batches, read, passes):
+    """The pairs (u, v) of ``brought`` rows that pass; ``read`` makes of a value what is compared."""
+    now, lead = None, None
+    for batch in batches:
+        out = []
+        for v, part, turn, u, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            own = read(value)
+            if turn == 0:
+                now, lead = (v, part), own
+                continue
+            if now != (v, part):
+                raise RuntimeError("a set came without the one it is compared with")
+            if passes(lead, own):
+                out.append((u, v))
+        yield pa.record_batch({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+
+def likely(found: DataFrame, sets: DataFrame, pairs: DataFrame, bound: Bound, group: int = 256, few: int = 400_000) -> DataFrame:
+    """The pairs (u, v) whose parity maps (_map, of ``_n`` shingles) don't rule the similarity out: sets that are alike differ in few shingles, others meet by a rare one."""
+    both = found.select("_row", F.struct("_map", "_n").alias("_of"))
 
     def run(batches):
-        hashes, now, lead = _WordHashes(), None, None
-        for batch in batches:
-            out = []
-            for v, part, turn, u, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = shingle_set(text or "", size, hashes)
-                if turn == 0:
-                    now, lead = (v, part), own
-                    continue
-                if now != (v, part):
-                    raise RuntimeError("a text came without the one it is compared with")
-                both = len(np.intersect1d(lead, own, assume_unique=True))
-                if q * both >= p * (len(lead) + len(own) - both):
-                    out.append((u, v))
-            yield pa.record_batch({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+        read = lambda x: (np.frombuffer(x["_map"], np.uint8), x["_n"])
+        yield from held_against(batches, read, lambda a, b: odd_bits(a[0], b[0]) <= a[1] + b[1] - 2 * bound.shared(a[1] + b[1]))
+
+    return brought(both, "_of", sets, pairs, "asked-maps", group, few).mapInArrow(run, "u long, v long")
+
+
+def alike(found: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, bound: Bound, group: int = 256, few: int = 400_000) -> DataFrame:
+    """The pairs (u, v) of ``sets`` (_same, _row) whose similarity reaches the bound: the sets of their rows' texts in ``found`` (_row, text) are compared in full.
+
+    Where rows have parity maps (_map, _n), pairs that these rule out are dropped first
+    (``likely``), so texts move only for pairs that are alike, or nearly.
+    """
+    p, q = bound.p, bound.q
+    if "_map" in found.columns:
+        pairs = durable(likely(found, sets, pairs, bound, group, few), "likely")
+
+    def run(batches):
+        hashes = _WordHashes()
+
+        def passes(lead, own):
+            both = len(np.intersect1d(lead, own, assume_unique=True))
+            return q * both >= p * (len(lead) + len(own) - both)
+
+        yield from held_against(batches, lambda text: shingle_set(text or "", size, hashes), passes)
 
-    return sent.repartition("v", "part").sortWithinPartitions("v", "part", "turn").select("v", "part", "turn", "_same", "text").mapInArrow(run, "u long, v long")
+    return brought(found, "text", sets, pairs, "asked-texts", group, few).mapInArrow(run, "u long, v long")
 
 
 def print_pairs(found: DataFrame) -> DataFrame:
@@ -418,7 +460,8 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
     of its group of near copies, which takes one pair a set and joins most groups. Then
     all pairs that meet and aren't joined yet are compared in full, but for those of lists
     of ``crowd`` sets or more whose bit maps differ too much. Pairs within what is joined
-    would add nothing, so a group's pairs aren't made.
+    would add nothing, so a group's pairs aren't made. Texts move only for pairs that their
+    parity maps (_map and _n, where ``found`` has them) let pass.
     """
     bound = Bound.of(similarity)
     lists = durable(shared_lists(prefix_index(found, size, bound, common_shingles(found, size, sample_rows, most))), "shared-lists")
@@ -426,10 +469,12 @@ def similar_sets(found: DataFrame, size: int, similarity: float, sample_rows: in
     first = durable(alike(found, sets, durable(print_pairs(found).union(star_pairs(lists, bound)).distinct(), "stars"), size, bound), "star-links")
     joined = components(first).select(F.col("node").alias("same"), "component")
     marked = durable(with_past(lists.join(shuffled(joined), "same", "left").withColumn("component", F.coalesce("component", "same"))), "marked-lists")
+    discard(lists)
     long = marked.where(F.col("size") >= crowd)
     maps = bit_maps(found, durable(long.select(F.col("same").alias("_same")).distinct(), "crowded"), size)
     met = meetings(marked.where(F.col("size") < crowd), bound).union(meetings(long.join(maps, "same"), bound))
     near = durable(met.distinct(), "meetings")
+    discard(marked)
     return first.union(alike(found, sets, near, size, bound))
 
 
@@ -454,12 +499,17 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
         hashes = _WordHashes()
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            same = [xxhash.xxh64_intdigest(shingle_set(t, size, hashes).tobytes()) for t in texts]
+            same, maps, sizes = [], [], []
+            for t in texts:
+                own = shingle_set(t, size, hashes)
+                same.append(xxhash.xxh64_intdigest(own.tobytes()))
+                maps.append(parity_map(own).tobytes())
+                sizes.append(len(own))
             prints = [fingerprint(t, size) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, prints)]], [*batch.schema.names, "_same", "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, prints)], pa.array(maps, pa.binary()), pa.array(sizes, pa.int32())], [*batch.schema.names, "_same", "_fp", "_map", "_n"])
 
-    found = durable(source.mapInArrow(run, f"{fields_of(source, source.columns)}, _same long, _fp long"), "shingled")
-    joined = durable(similar_sets(found.select("_row", "_same", "_fp", F.col(f"c{at}").alias("text")), size, similarity), "similar")
+    found = durable(source.mapInArrow(run, f"{fields_of(source, source.columns)}, _same long, _fp long, _map binary, _n int"), "shingled")
+    joined = durable(similar_sets(found.select("_row", "_same", "_fp", "_map", "_n", F.col(f"c{at}").alias("text")), size, similarity), "similar")
     narrow = found.select(F.col(f"c{columns.index('doc_id')}").cast("long").alias("doc_id"), F.col("_same").alias("node"), "_row")
     named = narrow.join(shuffled(components(joined)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from fathomline.llm import graph, neardup
 from pyspark.sql import functions as F
@@ -149,3 +150,37 @@ def test_sets_are_looked_up_once(spark, monkeypatch):
     monkeypatch.setattr(neardup, "durable", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().toString()) and written(df, name))
     neardup.drop_near_duplicates(spark.createDataFrame(near_texts(), "doc_id long, text string"), 5, 0.8).count()
     assert "set-rows" in plans["asked-texts"] and "shingled" not in plans["asked-texts"]
+
+
+def test_parity_maps_never_rule_out_alike_sets():
+    rng = random.Random(11)
+    for n in (1, 2, 9, 300, 1100, 5000):
+        a = [rng.getrandbits(64) for _ in range(n)]
+        for changed in (0, 1, n // 12, n // 3, n):
+            b = [*a[changed:], *[rng.getrandbits(64) for _ in range(changed + n // 20)]] or [1]
+            x, y = (np.array(sorted(set(s)), np.uint64) for s in (a, b))
+            differ = len(set(a) ^ set(b))
+            assert neardup.odd_bits(neardup.parity_map(x), neardup.parity_map(y)) == neardup.odd_bits(neardup.parity_map(y), neardup.parity_map(x)) <= differ
+            if n >= 300 and changed == n:
+                assert neardup.odd_bits(neardup.parity_map(x), neardup.parity_map(y)) > 0.25 * (len(x) + len(y)) / 2
+
+
+def test_texts_move_only_for_pairs_that_are_nearly_alike(spark, monkeypatch):
+    """Texts of which two share a passage are compared by their maps; only the copy's text is brought to its source."""
+    rng, moved, whole = random.Random(3), [], neardup.durable
+    monkeypatch.setattr(neardup, "durable", lambda df, name: moved.append((name, whole(df, name))) or moved[-1][1])
+    plate = lambda i: " ".join(f"p{i // 2}x{k}" for k in range(20))
+    texts = [f"{plate(i)} " + " ".join(f"w{rng.randrange(10_000)}" for _ in range(120)) for i in range(40)]
+    texts.append(texts[0] + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(docs).collect()) == list(range(40))
+    rows = [df.count() for name, df in moved if name == "asked-texts"]
+    assert sum(rows) <= 4 and max(df.count() for name, df in moved if name == "asked-maps") > 10
+
+
+def test_pipeline_removes_what_a_stage_was_given(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(corpus_pipeline, "discard", lambda df: gone.append(df.durable_path))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), lambda s, docs, d: docs) for k in range(4)])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert [re.search(r"stage-\d", p)[0] for p in gone] == ["stage-0", "stage-1"]
